@@ -82,7 +82,7 @@ def query(docs: DataFrame) -> DataFrame:
 
     order = [F.col("doc_id").desc_nulls_last(), "text"]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), order[0]).sortWithinPartitions(*order)
     found = stored(rows.mapInArrow(run, f"{OUT}, part int, head string, tail string, tail_id bigint"), "fingerprints")
     along = W.orderBy("part")
     edges = found.where("part IS NOT NULL").select("part", "head", "tail", "tail_id")

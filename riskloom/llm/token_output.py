@@ -33,7 +33,7 @@ from .tokens import encoder
 
 END_ID = 1
 #: Ids in a block, and ids after which a frame is closed.
-BLOCK, FRAME = 1024, 1 << 18
+BLOCK, FRAME = 4096, 1 << 18
 #: selector -> (ids in a word, bits of each)
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 #: The largest id that is stored in place. Larger ones are escapes: a 0 in place (0 itself is stored as 1, and so on) and the id beside.
@@ -50,17 +50,16 @@ def pack_words(values: np.ndarray) -> np.ndarray:
     n = len(values)
     if not n:
         return np.empty(0, np.uint64)
-    bits = np.zeros(n, np.int64)
-    top = int(values.max()).bit_length()
-    for b in range(top):
-        bits += values >= (np.uint64(1) << np.uint64(b))
+    bits = np.frexp(values.astype(np.float64))[1] if values.max() < 1 << 53 else np.array([int(v).bit_length() for v in values])
     best = np.full(n, len(WIDTHS) - 1, np.int64)
     at = np.arange(n)
     for s in range(len(WIDTHS) - 1, -1, -1):
         count, width = WIDTHS[s]
-        wide = np.where(bits > width, at, n)
-        until = np.minimum.accumulate(wide[::-1])[::-1]
-        best = np.where((until - at >= np.minimum(count, n - at)), s, best)
+        ends = np.append(np.flatnonzero(bits > width), n)
+        if s < len(WIDTHS) - 1 and (len(ends) - 1) * (count + 1) > n * count:
+            continue  # too few values in a row fit for this to be worth a look
+        until = np.repeat(ends, np.diff(ends, prepend=-1))[:n]
+        best[until - at >= np.minimum(count, n - at)] = s
     take = np.array([c for c, _ in WIDTHS])[best]
     starts, i, step = [], 0, take.tolist()
     while i < n:
@@ -68,6 +67,7 @@ def pack_words(values: np.ndarray) -> np.ndarray:
         i += step[i]
     starts = np.array(starts)
     chosen = best[starts]
+    # Zeros fill up the last word.
     padded = np.concatenate([values, np.zeros(64, np.uint64)])
     out = np.zeros(len(starts), np.uint64)
     for s in np.unique(chosen):
@@ -75,8 +75,6 @@ def pack_words(values: np.ndarray) -> np.ndarray:
         rows = np.flatnonzero(chosen == s)
         word = np.full(len(rows), np.uint64(s) << np.uint64(60))
         grid = padded[starts[rows][:, None] + np.arange(count)]
-        over = starts[rows][:, None] + np.arange(count) >= n
-        grid[over] = 0
         for k in range(count):
             word |= grid[:, k] << np.uint64(width * k)
         out[rows] = word
@@ -189,7 +187,8 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
 
     order = [F.col("doc_id").asc_nulls_last(), "text"]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    # Ranges are of doc_id alone: their limits come from a sample that the driver gets.
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), order[0]).sortWithinPartitions(*order)
     out = rows.mapInArrow(run, "part int, frame_no bigint, doc_ids array<bigint>, n_ids bigint, frame binary")
     out.write.option("compression", "none").parquet(path)
 
