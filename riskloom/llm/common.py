@@ -158,3 +158,29 @@ def join_hot(rows: DataFrame, values: DataFrame, key: str, count: str, total: in
     cold = tagged.where(F.col("__rl_few").isNull()).drop("__rl_few").join(many.hint("merge"), key, how).withColumnRenamed("__rl_many", "__rl_got")
     out = tagged.where(F.col("__rl_few").isNotNull()).withColumnRenamed("__rl_few", "__rl_got").unionByName(cold)
     return out.select(*rows.columns, "__rl_got.*")
+
+
+#: Bits of a sieve: 1 MB, whatever the input. Where it fills up it lets more rows pass than it must, never fewer.
+SIEVE = 1 << 23
+
+
+def sieve(rows: DataFrame, key: str, wanted: DataFrame, want: str) -> DataFrame:
+    """rows whose key may be among the wanted ones: a Bloom filter of fixed size, so that a join need not move the others."""
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(SIEVE))
+    bits = bytearray(SIEVE // 8)
+    for r in wanted.select(bit(want).alias("b")).groupBy(F.shiftright("b", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(F.lit(32767))).alias("bits")).collect():
+        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
+    data = bytes(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        table = np.frombuffer(data, np.uint8)
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy()
+            ok = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            got = b.filter(pa.array(ok.astype(bool)))
+            yield got.select(got.schema.names[:-1])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.withColumn("__rl_bit", bit(key)).mapInArrow(run, schema)

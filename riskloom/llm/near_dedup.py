@@ -1,16 +1,16 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-Texts that are equal in lower case with single spaces are one node. A node's shingles are its runs of WIDTH words; a shingle weighs
-how often it stands there times an inverse document frequency in [1 - FALL, 1]. Document frequencies are counted over all documents in a
+Texts that are equal in lower case with single spaces are one node. A node's shingles are its runs of WIDTH words; term frequency is binary (a line repeated hundreds of times doesn't make two texts
+alike), so a shingle weighs its inverse document frequency, in [1 - FALL, 1]. Document frequencies are counted over all documents in a
 table of fixed size by hash, from which the level that chance collisions reach is taken off. BANDS bands of ROWS samples each put nodes
 in buckets, and two nodes are a candidate pair if they share a bucket. Two nodes are linked if their weighted Jaccard similarity, or that of
 their shingle sets, is at least SIMILARITY; classes are the connected components.
 
 No bucket's pairs are listed. First every node is verified against the first node of each of its buckets (by doc_id), and links make
-components. Then only nodes whose component differs from their bucket's first node's are left; those meet what else is in the bucket and in
-another component, but for pairs that the triangle inequality of the Jaccard distance (to that first node) rules out. So each candidate
-pair is verified, ruled out, or in one component already: no link is lost, and there is no cap. Verification deals the texts by (first
-node, part of 256 partners), so a first node with many partners is spread over tasks.
+components. Then only nodes whose component differs from their bucket's first node's are left over; blocks of them are held against the
+rest of their bucket by matrix products of shingle sets, and only links between components come out. So each candidate pair is verified
+or in one component already: no link is lost, and there is no cap. Texts are dealt by (first node, part of 256 partners) and (bucket,
+block, part), so a first node with many partners, or a bucket with many rows, is spread over tasks.
 
 Null counts as empty; texts without a word are one class, and texts with fewer than WIDTH words have one shingle of all of them. Rows
 that repeat are in their class as often as they stand there. An empty table gives an empty result; extra columns are never read.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_hot, keep_rows, map_batches, partitions, stored, text_of
+from .common import SPACE, join_hot, keep_rows, map_batches, partitions, sieve, stored, text_of
 from .sampling import Words, mixed, sampler, shingles
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -36,6 +36,8 @@ FALL = 0.2
 COUNTERS, CHUNK = 1 << 20, 1 << 16
 #: Partners of a first node that are verified by one task at a time.
 PARTNERS = 256
+#: Left-over nodes in a block, and rows of their bucket that one task holds against it.
+BLOCK, AGAINST = 64, 1024
 
 
 def node_of(text: Column) -> Column:
@@ -87,9 +89,9 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
 
 def weighted(text: str, words: Words, levels: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of a text, sorted, and their weights."""
-    s, counts = np.unique(shingles_of(text, words), return_counts=True)
+    s = np.unique(shingles_of(text, words))
     level = levels[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    return s, counts * (1 - FALL * np.minimum(1.0, 2.0 * level / top))
+    return s, 1 - FALL * np.minimum(1.0, 2.0 * level / top)
 
 
 def bands_of(s: np.ndarray, w: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
@@ -111,6 +113,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (float(a[1].sum()) + float(b[1].sum()) - both), len(i) / (len(a[0]) + len(b[0]) - len(i))
 
 
+def texts_of(docs: DataFrame, wants: DataFrame) -> DataFrame:
+    """wants (want, the id; wanted, the node; more) with the text of each."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("have"), text_of().alias("text"))
+    met = sieve(texts, "have", wants, "want").hint("merge").join(wants.hint("merge"), F.col("have").eqNullSafe(F.col("want")))
+    return met.where(node_of(F.col("text")) == F.col("wanted"))
+
+
 def verify(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, top: float) -> DataFrame:
     """node, first, similarity, plain for pairs (node, id, first, first_id)."""
     spark = docs.sparkSession
@@ -123,8 +132,7 @@ def verify(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, top: float) ->
     partners = dealt.select(F.col("id").alias("want"), F.col("node").alias("wanted"), "first", "part", F.lit(1).alias("role"))
     firsts = dealt.select(F.col("first_id").alias("want"), F.col("first").alias("wanted"), "first", "part", F.lit(0).alias("role")).distinct()
     wants = stored(partners.unionByName(firsts), "pair-texts")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("have"), text_of().alias("text"))
-    met = texts.join(wants, F.col("have").eqNullSafe(F.col("want"))).where(node_of(F.col("text")) == F.col("wanted"))
+    met = texts_of(docs, wants)
     met = met.select("first", "part", "role", "wanted", "text").repartition(partitions(spark), "first", "part").sortWithinPartitions("first", "part", "role")
     schema = pa.schema([("node", pa.binary()), ("first", pa.binary()), ("similarity", pa.float64()), ("plain", pa.float64())])
 
@@ -207,33 +215,74 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _rest(docs: DataFrame, met: DataFrame, found: DataFrame, labels: DataFrame, linked: Column, levels: np.ndarray, top: float) -> DataFrame:
-    """labels after the pairs whose nodes share a bucket but not a component are verified."""
+    """labels after those nodes that share a bucket but not a component are held against each other."""
     at = labels.select(F.col("node").alias("at"), "label")
     by_first = labels.select(F.col("node").alias("at_first"), F.col("label").alias("first_label"))
-    known = found.groupBy("node", "first").agg(F.max("similarity").alias("similarity"))
     # Only firsts of which some partner fell short can have a bucket with two components.
     short = found.where(~linked).select("first").distinct()
-    part = met.join(short, "first", "left_semi").join(known, ["node", "first"], "left")
+    part = met.join(short, "first", "left_semi")
     part = part.join(at, F.col("node") == F.col("at"), "left").join(by_first, F.col("first") == F.col("at_first"), "left")
-    part = stored(part.select("band", "node", "id", F.coalesce("label", "node").alias("label"), F.coalesce("first_label", "first").alias("first_label"), (F.col("node") == F.col("first")).alias("is_first"), F.coalesce("similarity", F.lit(1.0)).alias("near")), "left-over")
-    out = part.where("label <> first_label").select("band", F.col("node").alias("o"), F.col("id").alias("o_id"), F.col("label").alias("o_label"), F.col("near").alias("o_near"), F.lit(True).alias("outside"))
-    pairs = out.join(part.where("NOT is_first"), "band").where((F.col("label") != F.col("o_label")) & (F.abs(F.col("near") - F.col("o_near")) <= 1.02 - SIMILARITY))
-    # Of a pair of which both are left over, one order is enough.
-    pairs = pairs.where((F.col("label") == F.col("first_label")) | (F.col("o") < F.col("node")))
-    pairs = pairs.select(F.col("o").alias("node"), F.col("o_id").alias("id"), F.col("node").alias("first"), F.col("id").alias("first_id")).distinct()
-    pairs = stored(pairs, "pairs-left")
-    if pairs.isEmpty():
+    part = stored(part.select("band", "node", "id", F.coalesce("label", "node").alias("label"), F.coalesce("first_label", "first").alias("first_label")), "left-over")
+    outside = F.col("label") != F.col("first_label")
+    sizes = stored(part.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("o")).where("o > 0"), "left-sizes")
+    rows = join_hot(part, sizes, "band", "n", part.count())
+    blocks, parts = F.ceil(F.col("o") / BLOCK), F.ceil(F.col("n") / AGAINST)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    want = [F.col("id").alias("want"), F.col("node").alias("wanted"), "label", "band"]
+    held = rows.where(outside).select(*want, F.pmod(F.xxhash64("node", F.lit(1)), blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("role"))
+    others = rows.select(*want, F.pmod(F.xxhash64("node"), parts).alias("part"), every(blocks).alias("block"), F.lit(1).alias("role"))
+    wants = stored(held.unionByName(others), "left-texts")
+    if wants.isEmpty():
         return labels
-    more = verify(docs, pairs, levels, top).where(linked).select("node", "first")
-    a, b = at.withColumnsRenamed({"at": "at_a", "label": "label_a"}), at.withColumnsRenamed({"at": "at_b", "label": "label_b"})
-    ends = more.join(a, F.col("node") == F.col("at_a"), "left").join(b, F.col("first") == F.col("at_b"), "left")
-    joined = components(ends.select(F.coalesce("label_a", "node").alias("a"), F.coalesce("label_b", "first").alias("b")))
+    met = texts_of(docs, wants).select("band", "block", "part", "role", "label", "text")
+    met = met.repartition(partitions(docs.sparkSession), "band", "block", "part").sortWithinPartitions("band", "block", "part", "role")
+    joined = components(stored(met.mapInArrow(_hold(levels, top), "a binary, b binary").distinct(), "left-links"))
     to = joined.select(F.col("node").alias("from"), F.col("label").alias("to"))
     old = labels.join(to, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
     new = to.join(at, F.col("from") == F.col("at"), "left_anti").select(F.col("from").alias("node"), F.col("to").alias("label"))
     return stored(old.unionByName(new), "labels-all")
 
 
+def _hold(levels: np.ndarray, top: float):
+    """Of rows (band, block, part, role, label, text): the pairs of labels that a link joins. Role 0 is the block, role 1 what it is held against."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def linked(own: list, other: list) -> set[tuple[bytes, bytes]]:
+        names = np.unique(np.concatenate([s for _, s, _ in own])) if own else np.empty(0, np.uint64)
+        if not len(names):
+            return set()
+        sums = [np.array([w.sum() for _, _, w in x]) for x in (own, other)]
+        sizes = [np.array([len(s) for _, s, _ in x]) for x in (own, other)]
+        flags = [np.zeros((len(x), len(names)), np.float32) for x in (own, other)]
+        weight = np.zeros(len(names), np.float32)
+        for x, f in zip((own, other), flags, strict=True):
+            for i, (_, s, w) in enumerate(x):
+                at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+                ok = names[at] == s
+                f[i, at[ok]] = 1
+                weight[at[ok]] = w[ok]
+        plain, both = flags[0] @ flags[1].T, (flags[0] * weight) @ flags[1].T
+        near = (plain >= SIMILARITY * (sizes[0][:, None] + sizes[1] - plain) - 1e-6) | (both >= SIMILARITY * (sums[0][:, None] + sums[1] - both) - 1e-4)
+        return {(own[i][0], other[j][0]) for i, j in zip(*np.nonzero(near), strict=True) if own[i][0] != other[j][0]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, group, own, other, out = Words(), None, [], [], set()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                for band, block, part, role, label, text in zip(*(c.to_pylist() for c in whole.slice(i, 512).columns), strict=True):
+                    if group != (band, block, part):
+                        out |= linked(own, other) if other else set()
+                        group, own, other = (band, block, part), [], []
+                    (other if role else own).append((label, *weighted(text, words, levels, top)))
+                    if len(other) == 128:
+                        out |= linked(own, other)
+                        other = []
+        out |= linked(own, other) if other else set()
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in sorted(out)], pa.binary()) for k in (0, 1)], schema=schema)
+
+    return run
+
+
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size (rows), kept (in each class one row of the least doc_id)."""
     from pyspark.sql import Window as W

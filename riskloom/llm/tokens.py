@@ -80,7 +80,7 @@ class Encoder:
 
 def _plain(word: str) -> tuple[str, str]:
     end = ""
-    if word[-1] in ".," and word[-2:-1].isalpha() and word[-2] < "\u0100":
+    if word[-1:] in (".", ",") and word[-2:-1].isalpha() and word[-2] < "\u0100":
         word, end = word[:-1], word[-1]
     if "A" <= word[:1] <= "Z":
         word = word[0].lower() + word[1:]
