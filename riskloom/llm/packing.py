@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
 
         return f
 
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")), make, PIECE, 256)
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")), make, PIECE, 2048)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:

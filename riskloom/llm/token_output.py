@@ -33,11 +33,12 @@ from .tokens import encoder
 
 END_ID = 1
 #: Ids in a block, and ids after which a frame is closed.
-BLOCK, FRAME = 4096, 1 << 18
+BLOCK, FRAME = 1 << 14, 1 << 18
 #: selector -> (ids in a word, bits of each)
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 #: The largest id that is stored in place. Larger ones are escapes: a 0 in place (0 itself is stored as 1, and so on) and the id beside.
 IN_PLACE = (1 << 15) - 2
+_BITS = np.array([v.bit_length() for v in range(1 << 15)], np.int8)
 HEAD = struct.Struct("<4sIIIIII")
 
 
@@ -50,16 +51,23 @@ def pack_words(values: np.ndarray) -> np.ndarray:
     n = len(values)
     if not n:
         return np.empty(0, np.uint64)
-    bits = np.frexp(values.astype(np.float64))[1] if values.max() < 1 << 53 else np.array([int(v).bit_length() for v in values])
-    best = np.full(n, len(WIDTHS) - 1, np.int64)
-    at = np.arange(n)
-    for s in range(len(WIDTHS) - 1, -1, -1):
+    if values.max() < len(_BITS):
+        bits = _BITS[values.astype(np.int32)]
+    else:
+        bits = np.array([int(v).bit_length() for v in values], np.int8)
+    best = np.full(n, len(WIDTHS) - 1, np.int8)
+    at = np.arange(n, dtype=np.int32)
+    rest = n - at
+    for s in range(len(WIDTHS) - 2, -1, -1):
         count, width = WIDTHS[s]
-        ends = np.append(np.flatnonzero(bits > width), n)
-        if s < len(WIDTHS) - 1 and (len(ends) - 1) * (count + 1) > n * count:
+        ends = np.append(np.flatnonzero(bits > width), n).astype(np.int32)
+        if (len(ends) - 1) * (count + 1) > n * count:
             continue  # too few values in a row fit for this to be worth a look
-        until = np.repeat(ends, np.diff(ends, prepend=-1))[:n]
-        best[until - at >= np.minimum(count, n - at)] = s
+        if len(ends) == 1:
+            best[:] = s
+            continue
+        room = np.repeat(ends, np.diff(ends, prepend=np.int32(-1)))[:n] - at
+        best[(room >= count) | (room == rest)] = s
     take = np.array([c for c, _ in WIDTHS])[best]
     starts, i, step = [], 0, take.tolist()
     while i < n:
@@ -173,8 +181,8 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
 
         size = 0
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
+            for i in range(0, whole.num_rows, 2048):
+                b = whole.slice(i, 2048)
                 for d, x in zip(b.column(0).to_pylist(), enc.ids(b.column(1).to_pylist()), strict=True):
                     if held and size + len(x) + 1 > FRAME:
                         yield frame()

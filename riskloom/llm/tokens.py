@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at once; then it starts anew. It bounds memory and changes no result.
 REMEMBER = 1_000_000
 GROUP = 100
+#: Characters handled at once.
+AT_ONCE = 1 << 22
 
 
 def default_path() -> str:
@@ -40,20 +42,47 @@ class Encoder:
         self.ends[[i for w, i in names.items() if w.endswith("</w>")]] = True
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids (uint32) of each text."""
         if not self.by_word:
             return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        # ASCII texts are made lower case first, as the vocabulary does: fewer distinct words to encode.
-        split = [_split(t.lower() if t.isascii() else t) for t in texts]
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size > AT_ONCE:
+                out += self._words(part)
+                part, size = [], 0
+        return out + self._words(part)
+
+    def _words(self, texts: list[str]) -> list[np.ndarray]:
+        # Where a text may hold a special token, in any case, the next step could make or unmake one.
+        special = [i for i, t in enumerate(texts) if "<|" in t]
+        column = pc.ascii_lower(pa.array([t if "<|" not in t else "" for t in texts] if special else texts, pa.large_string()))
+        split = pc.ascii_split_whitespace(column)
+        # Distinct words are found, and ids put together, without a Python step for each word.
+        words = split.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
         if len(self.known) > REMEMBER:
             self.known = {}
         known = self.known
-        # A full stop or comma after a Latin letter is a token of its own, and case doesn't count: most new words are known but for these.
-        new = {w: _plain(w) for w in set(chain.from_iterable(split)).difference(known)}
-        stems = list(({p for p, _ in new.values()} | {end for _, end in new.values() if end}).difference(known))
-        self._encode(stems)
+        # Signs after a Latin letter are a piece of their own: most new words are known but for these.
+        new = {w: _plain(w) for w in names if w not in known}
+        self._encode(list(({p for p, _ in new.values()} | {end for _, end in new.values() if end}).difference(known)))
         for w, (p, end) in new.items():
-            known[w] = known[p] + known[end] if end else known[p]
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32) for words in split]
+            if end:
+                known[w] = known[p] + known[end]
+        data = [known[w] for w in names]
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        every, starts = np.frombuffer(b"".join(data), np.uint32), np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[at]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        flat = every[np.repeat(starts[at] - upto[:-1], counts) + np.arange(upto[-1])]
+        ends = upto[split.offsets.to_numpy().astype(np.int64)]
+        out = [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for i in special:
+            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return out
 
     def _encode(self, words: list[str]) -> None:
         """Words of letters alone are one piece each, so many are encoded in one text and told apart by the ids that end a piece."""
@@ -78,21 +107,14 @@ class Encoder:
                 self.known[w] = array("I", e.ids).tobytes()
 
 
-def _plain(word: str) -> tuple[str, str]:
-    end = ""
-    if word[-1:] in (".", ",") and word[-2:-1].isalpha() and word[-2] < "\u0100":
-        word, end = word[:-1], word[-1]
-    if "A" <= word[:1] <= "Z":
-        word = word[0].lower() + word[1:]
-    return word, end
-
+_SIGNS = ".,;:!?#$%&*@|)(][}{/+=~^-"
 
-_OTHER = re.compile("[\x1c-\x1f]")
 
-
-def _split(text: str) -> list[str]:
-    """Python also splits at the four ASCII separators, which the vocabulary doesn't count as white space."""
-    return re.split(r"[\x20\t-\r]+", text) if _OTHER.search(text) else text.split()
+def _plain(word: str) -> tuple[str, str]:
+    stem = word.rstrip(_SIGNS)
+    if len(stem) < len(word) and stem[-1:].isalpha() and stem[-1] < "\u0100":
+        return stem, word[len(stem) :]
+    return word, ""
 
 
 @lru_cache(maxsize=2)
