@@ -2,7 +2,8 @@
 
 Expected copies of a document = its source's target / its source's words, at most 3. The documents of a source are put in an order
 (by size class, so that each source's taken words stay close to its target; within it by a hash), the expected copies are
-prefix-summed along that order, one offset in [0, 1) is added, and a document is taken once for each integer crossed.
+prefix-summed along that order, one offset in [0, 1) is added (of OFFSETS random ones, the one whose words come nearest the target), and
+a document is taken once for each integer crossed.
 
 Null text has size 0, null source is a source of its own and comes last, rows that repeat are documents of their own, an empty table
 gives an empty result. Extra columns are never read by the plan and pass through mix().
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, stored, text_of
+from .common import WORD, join_hot, stored, text_of
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -25,6 +26,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Hash parts of a size class.
 PARTS = 64
+#: Random offsets of a source, of which the one whose words come nearest the target is taken.
+OFFSETS = 16
 
 
 def size_of(text: Column) -> Column:
@@ -36,7 +39,7 @@ def _source_key() -> list[Column]:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(s_null, s_name, source_size, target, offset) from (s_null, s_name, size): one row for each source.
+    """(s_null, s_name, source_size, target) from (s_null, s_name, size): one row for each source.
 
     A target is min(most x size, level x weight) with the level at which targets add up to all sizes. Sources reach their limit in
     the order of limit / weight, so one pass along that order finds the level.
@@ -54,9 +57,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     # The level of those that aren't full: after the last full one.
     by = by.withColumn("level", F.min(F.when(~F.col("full"), F.struct("ratio", "s_null", "s_name", "level"))).over(every).getField("level"))
     target = F.when(F.col("full"), F.col("limit").cast("double")).otherwise(F.col("level") * F.col("weight"))
-    seed = F.concat(F.lit("offset:"), F.col("s_null").cast("string"), F.lit(":"), F.col("s_name"))
-    offset = F.conv(F.substring(F.md5(seed), 1, 4), 16, 10).cast("double") / F.lit(65536.0)
-    return by.select("s_null", "s_name", "source_size", target.alias("target"), offset.alias("offset"))
+    return by.select("s_null", "s_name", "source_size", target.alias("target"))
+
+
+def offsets() -> list[Column]:
+    """A source's random offsets in [0, 1), from a hash of its name: the same in each run."""
+    seed = lambda k: F.md5(F.concat(F.lit(f"offset:{k // 8}:"), F.col("s_null").cast("string"), F.lit(":"), F.col("s_name")))
+    return [F.conv(F.substring(seed(k), 1 + 4 * (k % 8), 4), 16, 10).cast("double") / F.lit(65536.0) for k in range(OFFSETS)]
 
 
 def plan(docs: DataFrame, key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
@@ -72,12 +79,20 @@ def plan(docs: DataFrame, key: str = "doc_id", carry: list[str] | None = None) -
     starts = counts.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
     starts = starts.join(targets(rows), ["s_null", "s_name"])
     nth = F.row_number().over(W.partitionBy(*block).orderBy("size", "doc_id", *rest))
-    met = rows.withColumn("nth", nth).join(starts, block)
+    met = stored(rows.withColumn("nth", nth).join(starts, block).select("s_null", "s_name", "doc_id", "size", "source_size", "target", (F.col("before") + F.col("nth")).alias("upto"), *rest), "mix-ranks")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    upto = F.floor(each * (F.col("before") + F.col("nth")) + F.col("offset"))
-    below = F.floor(each * (F.col("before") + F.col("nth") - 1) + F.col("offset"))
-    copies = F.greatest(F.least(upto - below, F.lit(MOST)), F.lit(0)).cast("bigint")
-    return met.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *rest)
+
+    def copies(offset: Column) -> Column:
+        crossed = F.floor(each * F.col("upto") + offset) - F.floor(each * (F.col("upto") - 1) + offset)
+        return F.greatest(F.least(crossed, F.lit(MOST)), F.lit(0)).cast("bigint")
+
+    sums = [F.sum(F.col("size") * copies(u)).alias(f"words_{k}") for k, u in enumerate(offsets())]
+    by = met.groupBy("s_null", "s_name").agg(F.count(F.lit(1)).alias("rows"), F.first("target").alias("goal"), *sums)
+    tried = F.array(*[F.struct(F.abs(F.col(f"words_{k}").cast("double") - F.col("goal")).alias("off"), F.lit(k).alias("k"), u.alias("u")) for k, u in enumerate(offsets())])
+    source = F.struct("s_null", "s_name").alias("source_key")
+    chosen = stored(by.select(source, "rows", F.array_min(tried).getField("u").alias("offset")), "mix-offsets")
+    out = join_hot(met.select("*", source), chosen, "source_key", "rows", met.count())
+    return out.select("doc_id", "size", "source_size", "target", copies(F.col("offset")).alias("copies"), *rest)
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -120,14 +135,21 @@ WITH rows_ AS (
   FROM l WINDOW p AS (ORDER BY ratio, s_null, s_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
   SELECT s_null, s_name, source_size,
-         CASE WHEN lev >= ratio THEN lim::DOUBLE ELSE (SELECT arg_min(lev, (ratio, s_null, s_name)) FROM c WHERE lev < ratio) * weight END AS target,
-         ('0x' || substr(md5('offset:' || s_null || ':' || s_name), 1, 4))::BIGINT / 65536.0::DOUBLE AS u
+         CASE WHEN lev >= ratio THEN lim::DOUBLE ELSE (SELECT arg_min(lev, (ratio, s_null, s_name)) FROM c WHERE lev < ratio) * weight END AS target
   FROM c
 ), r AS (
   SELECT b.*, row_number() OVER (PARTITION BY s_null, s_name ORDER BY size_class, part, size, doc_id) AS n FROM b
+), o AS (
+  SELECT s_null, s_name, k, ('0x' || substr(md5('offset:' || (k // 8) || ':' || s_null || ':' || s_name), CAST(1 + 4 * (k % 8) AS INT), 4))::BIGINT / 65536.0::DOUBLE AS u FROM s, range(16) x(k)
+), tried AS (
+  SELECT s_null, s_name, k, u, abs(CAST(sum(size * CAST(greatest(least(floor((CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) * n + u)
+          - floor((CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) * (n - 1) + u), 3), 0) AS BIGINT)) AS DOUBLE) - any_value(target)) AS away
+  FROM r JOIN t USING (s_null, s_name) JOIN o USING (s_null, s_name) GROUP BY s_null, s_name, k, u
+), best AS (
+  SELECT s_null, s_name, arg_min(u, (away, k)) AS u FROM tried GROUP BY s_null, s_name
 )
 SELECT doc_id, size, source_size, target,
        CAST(greatest(least(floor((CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) * n + u)
           - floor((CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) * (n - 1) + u), 3), 0) AS BIGINT) * size AS taken
-FROM r JOIN t USING (s_null, s_name)
+FROM r JOIN t USING (s_null, s_name) JOIN best USING (s_null, s_name)
 """

@@ -2,7 +2,8 @@
 
 Kernel: a text's features are its subsequences of three symbols within SPAN symbols, each weighted by DECAY for every symbol that
 it skips. So an insult with signs or letters put in between keeps most of its features, at less weight. The machine works on windows
-of WINDOW starts, slid over the whole text; a document scores as its highest window, by a fitted logistic curve.
+of WINDOW starts, slid over the whole text; a document's score is a logistic function of its TOP highest
+windows that don't overlap, and its length, fitted last.
 
 Training (on the driver, from a bounded sample of labelled documents): sentences of clean documents are negative; the sentences of
 toxic documents that hold what is most typical of toxic documents are positive. Landmarks are windows of both kinds. Windows of clean
@@ -26,12 +27,16 @@ from .chars import BITS, SYMBOLS, symbols
 from .common import fold, labelled_sample, map_batches, text_of
 from .nystrom import logistic_fit, whitener
 
-SPAN, WINDOW, DECAY = 6, 9, 0.7
+SPAN, WINDOW, DECAY = 6, 9, 0.8
 #: Labelled documents of each class to learn from, at most.
 SAMPLE = {1: 1500, 0: 2500}
 LANDMARKS, ROUNDS, PER_ROUND = 260, 3, 1200
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
+#: Windows of a document that its score reads.
+TOP = 4
+#: The log ratio from which a word is typical of toxic documents.
+TYPICAL = 1.6
 #: Symbols scanned at once.
 STRETCH = 1 << 18
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -58,10 +63,19 @@ def window_scores(codes: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return run[np.minimum(np.arange(n) + WINDOW, n)] - run[:n]
 
 
+def between_single_letters(codes: np.ndarray) -> np.ndarray:
+    """Where a sign or space stands between two letters that each stand alone, as in a word spelled out: those are left out of the scan."""
+    c = np.concatenate([np.zeros(2, np.uint8), codes, np.zeros(2, np.uint8)])
+    sign = (c == 0) | (c > 58)
+    letter = ~sign & (c < 58)
+    return sign[2:-2] & letter[1:-3] & letter[3:-1] & sign[:-4] & sign[4:]
+
+
 def highest(texts: list[str], beta: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Of each text, the highest window score and where it starts (-1: it has no symbol)."""
-    best, where = np.full(len(texts), -np.inf), [-1] * len(texts)
+    """Of each text, its TOP highest scores of windows that don't overlap (-inf where there are fewer), and where the highest starts (-1: nowhere)."""
+    best, where = np.full((len(texts), TOP), -np.inf), [-1] * len(texts)
     held: list[tuple[int, int, np.ndarray]] = []
+    moved: dict[int, np.ndarray] = {}
     size = 0
 
     def flush() -> None:
@@ -74,14 +88,25 @@ def highest(texts: list[str], beta: np.ndarray) -> tuple[np.ndarray, list[int]]:
         at = 0
         for i, begin, c in held:
             own = scores[at : at + len(c) + 1]
-            k = int(own.argmax())
-            if own[k] > best[i]:
-                best[i], where[i] = own[k], max(begin + k - 1, 0)
+            tops = np.full(TOP, -np.inf)
+            for t in range(TOP):
+                k = int(own.argmax())
+                if own[k] == -np.inf:
+                    break
+                tops[t] = own[k]
+                if t == 0 and own[k] > best[i, 0]:
+                    where[i] = max(begin + k - 1, 0)
+                own[max(0, k - WINDOW + 1) : k + WINDOW] = -np.inf
+            best[i] = np.sort(np.concatenate([best[i], tops]))[::-1][:TOP]
             at += 1 + len(c) + _PAD
         held, size = [], 0
 
     for i, t in enumerate(texts):
         c = symbols(t)
+        gone = between_single_letters(c)
+        if gone.any():
+            moved[i] = np.flatnonzero(~gone)
+            c = c[~gone]
         for begin in range(0, len(c), STRETCH):
             part = c[begin : begin + STRETCH + _PAD]
             held.append((i, begin, part))
@@ -89,9 +114,16 @@ def highest(texts: list[str], beta: np.ndarray) -> tuple[np.ndarray, list[int]]:
             if size > STRETCH:
                 flush()
     flush()
+    for i, places in moved.items():
+        where[i] = int(places[min(where[i], len(places) - 1)]) if where[i] >= 0 else -1
     return best, where
 
 
+def document_features(best: np.ndarray, texts: list[str], low: float) -> np.ndarray:
+    """What the logistic curve reads: the highest scores (low where a text has fewer windows) and the logarithm of the length."""
+    return np.concatenate([np.where(np.isfinite(best), best, low), np.log1p([[len(t)] for t in texts])], 1)
+
+
 def features(window: np.ndarray) -> dict[int, float]:
     """The explicit features of a window of WINDOW + SPAN - 1 symbols."""
     out: dict[int, float] = {}
@@ -126,18 +158,25 @@ def sentences(text: str) -> list[tuple[int, str]]:
 
 
 def typical(toxic: list[str], clean: list[str]) -> dict[str, float]:
-    """Log odds of words and of their first four and five letters in toxic documents, by documents that hold them."""
-
-    def parts(t: str) -> set[str]:
-        words = set(re.findall(r"[^\W\d_]+", t.lower()))
-        return words | {w[:k] + "~" for w in words for k in (4, 5) if len(w) > k}
+    """Log ratios of how often words, and their first four and five letters, stand in toxic documents and in clean ones (in a document at most 8 times)."""
+
+    def parts(t: str) -> Counter:
+        words = Counter(re.findall(r"[^\W\d_]+", t.lower()))
+        out = Counter(words)
+        for w, n in words.items():
+            for k in (4, 5):
+                if len(w) > k:
+                    out[w[:k] + "~"] += n
+        return out
 
-    a, b = Counter(), Counter()
-    for t in toxic:
-        a.update(parts(t))
-    for t in clean:
-        b.update(parts(t))
-    return {w: np.log((n + 0.1) / (len(toxic) + 1)) - np.log((b[w] + 0.5) / (len(clean) + 1)) for w, n in a.items() if n >= 2}
+    a, b, docs = Counter(), Counter(), Counter()
+    for side, texts in ((a, toxic), (b, clean)):
+        for t in texts:
+            got = parts(t)
+            side.update({w: min(n, 8) for w, n in got.items()})
+            if side is a:
+                docs.update(got.keys())
+    return {w: np.log((n + 0.1) / (len(toxic) + 1)) - np.log((b[w] + 0.5) / (len(clean) + 1)) for w, n in a.items() if docs[w] >= 3}
 
 
 def _word_score(word: str, odds: dict[str, float]) -> float:
@@ -159,13 +198,15 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 15, seed:
 
 
 class Model:
-    def __init__(self, beta: np.ndarray, slope: float, shift: float):
-        self.beta, self.slope, self.shift = beta, slope, shift
+    def __init__(self, beta: np.ndarray, weights: np.ndarray, shift: float, low: float):
+        self.beta, self.weights, self.shift, self.low = beta, weights, shift, low
 
     def score(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.empty(0)
         best = highest(texts, self.beta)[0]
-        z = np.where(np.isfinite(best), self.slope * np.where(np.isfinite(best), best, 0) + self.shift, -30.0)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        z = document_features(best, texts, self.low) @ self.weights + self.shift
+        return 1 / (1 + np.exp(-np.clip(np.where(np.isfinite(best[:, 0]), z, -30.0), -30, 30)))
 
 
 def _fit_windows(pos: list[np.ndarray], neg: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
@@ -213,7 +254,7 @@ def train(rows: list[tuple[str, int]], seed: int = 5) -> Model | None:
     for t in toxic:
         found = [(_word_score(m[0].lower(), odds), s + m.start()) for s, x in sentences(t) for m in re.finditer(r"[^\W\d_]+", x)]
         top = max(found, default=(0, 0))[0]
-        pos += [cut(t, at) for v, at in found if v >= max(2.5, top - 1.5)][:4]
+        pos += [cut(t, at) for v, at in found if v >= max(TYPICAL, top - 1.5)][:4]
     neg: list[np.ndarray] = []
     for t in clean:
         starts = [s + m.start() for s, x in sentences(t) for m in re.finditer(r"\S+", x)]
@@ -223,20 +264,23 @@ def train(rows: list[tuple[str, int]], seed: int = 5) -> Model | None:
     # Masked forms are made from half of the positives and kept out of the clean windows' way by as many masked negatives.
     rng.shuffle(pos)
     pos = pos[:PER_ROUND]
-    extra_pos = [spread(x, rng) for x in pos[::3]]
+    extra_pos = [spread(x, rng) for x in pos[::2]]
     extra_neg = [spread(x, rng) for x in neg[::9]]
     neg = neg[: 2 * PER_ROUND]
     beta = _fit_windows(pos + extra_pos, neg + extra_neg, rng)
     for _ in range(ROUNDS):
         best, where = highest(clean, beta)
-        hard = [cut(clean[i], where[i] + 1 if where[i] else 0) for i in np.argsort(-best)[:PER_ROUND] if where[i] >= 0]
+        # A clean document may hold one word that is typical of toxic ones: such windows are no negatives, and the document's score weighs how many there are.
+        at = [(i, where[i]) for i in np.argsort(-best[:, 0]).tolist() if where[i] >= 0]
+        words = [(i, w, re.search(r"[^\W\d_]+", clean[i][w : w + 30])) for i, w in at[: 2 * PER_ROUND]]
+        hard = [cut(clean[i], w + 1 if w else 0) for i, w, m in words if not m or _word_score(m[0].lower(), odds) < TYPICAL][:PER_ROUND]
         neg = (hard + neg)[: 3 * PER_ROUND]
         beta = _fit_windows(pos + extra_pos, neg + extra_neg, rng)
-    x = np.concatenate([highest(toxic, beta)[0], highest(clean, beta)[0]])
+    best = np.concatenate([highest(toxic, beta)[0], highest(clean, beta)[0]])
+    low = float(best[np.isfinite(best)].min())
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
-    ok = np.isfinite(x)
-    slope, shift = logistic_fit(x[ok], y[ok])
-    return Model(beta, max(slope, 0.0), shift)
+    weights, shift = logistic_fit(document_features(best, toxic + clean, low), y)
+    return Model(beta, weights, shift, low)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
