@@ -8,10 +8,11 @@ of a hash, so what is fixed by (term, k) is a table that each worker makes once;
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 
+from .common import held
+
 TERMS = 1 << 16
 REMEMBER = 250_000
 
@@ -54,10 +55,9 @@ class Sampler:
         return term, level
 
 
-@lru_cache(maxsize=2)
 def sampler(samples: int, seed: int) -> Sampler:
     """One for each worker process."""
-    return Sampler(samples, seed)
+    return held(f"sampler {samples} {seed}", lambda: Sampler(samples, seed))
 
 
 class Words:

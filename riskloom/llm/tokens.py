@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import os
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at once; then it starts anew. It bounds memory and changes no result.
-REMEMBER = 1_000_000
+REMEMBER = 600_000
 GROUP = 100
 #: Characters handled at once.
 AT_ONCE = 1 << 22
@@ -117,7 +118,6 @@ def _plain(word: str) -> tuple[str, str]:
     return word, ""
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str | None = None) -> Encoder:
     """One for each worker process."""
-    return Encoder(path)
+    return held(f"encoder {path}", lambda: Encoder(path))
