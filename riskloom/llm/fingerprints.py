@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import map_batches, partitions, stored, text_of
-from .sampling import Words, mixed, sampler, shingles
+from .sampling import Words, mixed, sampler, shingles, terms_of
 
 SAMPLES, SEED, WIDTH = 64, 11, 2
 OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -34,7 +34,7 @@ class Fingerprinter:
     def of(self, text: str) -> np.ndarray:
         """The fingerprint as 16-bit numbers."""
         pairs = shingles(self.words.hashes(text.split()), WIDTH)
-        terms, counts = np.unique((pairs >> np.uint64(48)).astype(np.int64), return_counts=True)
+        terms, counts = np.unique(terms_of(pairs), return_counts=True)
         term, level = self.sampler.sample(terms, counts)
         return (mixed((term.astype(np.uint64) << np.uint64(32)) ^ level.astype(np.uint64)) >> np.uint64(40)).astype(">u2")
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, join_hot, keep_rows, map_batches, partitions, sieve, stored, text_of
-from .sampling import Words, mixed, sampler, shingles
+from .sampling import Words, mixed, sampler, shingles, terms_of
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 20, 5, 23
@@ -38,6 +38,8 @@ COUNTERS, CHUNK = 1 << 20, 1 << 16
 PARTNERS = 256
 #: Left-over nodes in a block, and rows of their bucket that one task holds against it.
 BLOCK, AGAINST = 64, 1024
+#: Shingles of the left-over nodes that are in one matrix product (a longer text is alone in its own).
+SHINGLES = 40_000
 
 
 def node_of(text: Column) -> Column:
@@ -95,7 +97,7 @@ def weighted(text: str, words: Words, levels: np.ndarray, top: float) -> tuple[n
 
 
 def bands_of(s: np.ndarray, w: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
-    terms, at = np.unique((s >> np.uint64(48)).astype(np.int64), return_inverse=True)
+    terms, at = np.unique(terms_of(s), return_inverse=True)
     term, level = sampler(bands * rows, SEED).sample(terms, np.bincount(at, w, len(terms)))
     sample = mixed((term.astype(np.uint64) << np.uint64(32)) ^ (level.astype(np.int64).astype(np.uint64) & np.uint64(0xFFFFFFFF))).reshape(bands, rows)
     out = np.arange(bands, dtype=np.uint64)
@@ -248,6 +250,20 @@ def _hold(levels: np.ndarray, top: float):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def linked(own: list, other: list) -> set[tuple[bytes, bytes]]:
+        """In groups of a bounded number of shingles, so that long texts don't make large matrices."""
+        out, group, size = set(), [], 0
+        for x in own:
+            if group and size + len(x[1]) > SHINGLES:
+                for k in range(0, len(other), 32):
+                    out |= products(group, other[k : k + 32])
+                group, size = [], 0
+            group.append(x)
+            size += len(x[1])
+        for k in range(0, len(other), 32):
+            out |= products(group, other[k : k + 32])
+        return out
+
+    def products(own: list, other: list) -> set[tuple[bytes, bytes]]:
         names = np.unique(np.concatenate([s for _, s, _ in own])) if own else np.empty(0, np.uint64)
         if not len(names):
             return set()

@@ -1,7 +1,7 @@
 """Consistent weighted sampling: samples of weighted terms that two texts share as often as their generalised Jaccard similarity says.
 
 For a term of weight w, sample k draws r and c from Gamma(2, 1) and b from [0, 1), all fixed by (term, k):
-t = floor(ln w / r + b), a = c / exp(r (t - b + 1)); the sample is the (term, t) of the smallest a. Terms are numbered by 16 bits
+t = floor(ln w / r + b), a = c / exp(r (t - b + 1)); the sample is the (term, t) of the smallest a. Terms are numbered by 15 bits
 of a hash, so what is fixed by (term, k) is a table that each worker makes once; terms that share a number count as one.
 """
 
@@ -13,7 +13,8 @@ import numpy as np
 
 from .common import held
 
-TERMS = 1 << 16
+TERM_BITS = 15
+TERMS = 1 << TERM_BITS
 REMEMBER = 250_000
 
 
@@ -93,3 +94,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def terms_of(hashes: np.ndarray) -> np.ndarray:
+    """The numbers of terms with these 64-bit hashes."""
+    return (hashes >> np.uint64(64 - TERM_BITS)).astype(np.int64)
