@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from array import array
 
@@ -13,7 +14,7 @@ from .common import held
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at once; then it starts anew. It bounds memory and changes no result.
-REMEMBER = 600_000
+REMEMBER = 1_000_000
 GROUP = 100
 #: Characters handled at once.
 AT_ONCE = 1 << 22
@@ -46,6 +47,16 @@ class Encoder:
         """The ids (uint32) of each text."""
         if not self.by_word:
             return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        # Hundreds of thousands of small objects come to be at once, none of them in a cycle: looking for cycles would only cost time.
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._parts(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _parts(self, texts: list[str]) -> list[np.ndarray]:
         out, part, size = [], [], 0
         for t in texts:
             part.append(t)
