@@ -53,9 +53,15 @@ def shingles_of(text: str, words: Words) -> np.ndarray:
 def frequency_levels(docs: DataFrame) -> np.ndarray:
     """For each counter, half the binary logarithm (rounded down) of how far it exceeds what chance gives: 1 MB, whatever the input."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(rows: dict[int, np.ndarray], part: int) -> pa.RecordBatch:
         import zlib
 
+        data = [zlib.compress(x.astype("<u8").tobytes(), 1) for x in rows.values()]
+        return pa.RecordBatch.from_pydict({"part": pa.array([part] * len(rows), pa.int32()), "chunk": pa.array(list(rows), pa.int32()), "data": pa.array(data, pa.binary())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         words, counts = Words(), np.zeros(COUNTERS, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -63,26 +69,31 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
                 counts[np.unique(s & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
         for k in range(0, COUNTERS, CHUNK):
             if counts[k : k + CHUNK].any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // CHUNK], pa.int32()), "data": pa.array([zlib.compress(counts[k : k + CHUNK].astype("<u4").tobytes(), 1)], pa.binary())})
+                yield packed({k // CHUNK: counts[k : k + CHUNK]}, TaskContext.get().partitionId())
 
-    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Messages come one by one: a task holds one sum of the table at most, however many tasks counted."""
         import zlib
 
-        total = np.zeros(CHUNK, np.int64)
-        for b in parts:
-            for x in b.column(b.schema.get_field_index("data")).to_pylist():
-                total += np.frombuffer(zlib.decompress(x), "<u4")
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([zlib.compress(total.astype("<u8").tobytes(), 1)], pa.binary())})
+        from pyspark import TaskContext
 
-    parts = docs.select(text_of().alias("text")).mapInArrow(run, "chunk int, data binary")
-
-    def whole(key: tuple, t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(add(key, iter(t.to_batches())))
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, data in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                sums.setdefault(chunk, np.zeros(CHUNK, np.int64))
+                sums[chunk] += np.frombuffer(zlib.decompress(data.as_buffer()), "<u8").astype(np.int64)
+        for chunk, x in sums.items():
+            yield packed({chunk: x}, TaskContext.get().partitionId())
 
     import zlib
 
+    schema = "part int, chunk int, data binary"
+    parts = docs.select(text_of().alias("text")).mapInArrow(count, schema)
+    # Two steps: first each task's share of all messages, then those of a chunk, of which there are no more than partitions.
+    parts = parts.repartition(partitions(docs.sparkSession), "part", "chunk").mapInArrow(add, schema)
+    parts = parts.repartition(COUNTERS // CHUNK, "chunk").mapInArrow(add, schema)
     counts = np.zeros(COUNTERS, np.int64)
-    for r in parts.groupBy("chunk").applyInArrow(whole, "chunk int, data binary").collect():
+    for r in parts.collect():
         counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(r["data"])), "<u8")
     load = float(np.median(counts))
     excess = np.maximum(counts - (load + 5 * np.sqrt(load)), 1)

@@ -58,11 +58,16 @@ def credential(text: str, start: int, kind: int, end: int) -> str:
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
     """Tokens long enough to be credentials that hold a digit and overlap no base span."""
-    out, k = [], 0
+    out: list[tuple[int, int, str]] = []
     if not _DIGIT.search(text):
         return out
+    # Both stand in order of their starts, so one pass tells how far the base spans reach that begin before a candidate's end.
+    k = reach = 0
     for m in _CANDIDATE.finditer(text):
-        if _DIGIT.search(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in taken):
+        while k < len(taken) and taken[k][0] < m.end():
+            reach = max(reach, taken[k][2])
+            k += 1
+        if reach <= m.start() and _DIGIT.search(m[0]):
             out.append((m.start(), m.end(), m[0]))
     return out
 
