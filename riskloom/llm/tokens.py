@@ -73,12 +73,12 @@ class Encoder:
         split = pc.ascii_split_whitespace(column)
         # Distinct words are found, and ids put together, without a Python step for each word.
         words = split.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > REMEMBER:
             self.known = {}
         known = self.known
         # Signs after a Latin letter are a piece of their own: most new words are known but for these.
-        new = {w: _plain(w) for w in names if w not in known}
+        new = {w: (w, "") if w.isalpha() else _plain(w) for w in names if w not in known}
         self._encode(list(({p for p, _ in new.values()} | {end for _, end in new.values() if end}).difference(known)))
         for w, (p, end) in new.items():
             if end:
