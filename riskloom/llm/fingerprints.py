@@ -1,8 +1,8 @@
 """Document fingerprints: consistent weighted sampling over word pairs, weighted by how often they occur.
 
 A fingerprint is SAMPLES 16-bit hashes of samples, in hex; the share of equal ones estimates the generalised Jaccard similarity of two
-texts' pairs. One word alone is a pair of its own. Texts without a word (null counts as empty) have a fingerprint of their own, alike
-to each other and unlike all others.
+texts' pairs, which 64 bits of hash tell apart. One word alone is a pair of its own. Texts without a word (null counts as empty) have a
+fingerprint of their own, alike to each other and unlike all others.
 
 The next document comes in descending order of doc_id (rows that share it: by text; null doc_id last); after the last comes the first.
 Documents are sorted into ranges once; a range's last document meets the first of the next range through a table of one row a range.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import map_batches, partitions, stored, text_of
-from .sampling import Words, mixed, sampler, shingles, terms_of
+from .sampling import HashSampler, Words, mixed, sampler, shingles
 
 SAMPLES, SEED, WIDTH = 64, 11, 2
 OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -29,14 +29,14 @@ OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string,
 
 class Fingerprinter:
     def __init__(self, samples: int = SAMPLES):
-        self.sampler, self.words = sampler(samples, SEED), Words()
+        self.sampler, self.words = sampler(samples, SEED, HashSampler), Words()
 
     def of(self, text: str) -> np.ndarray:
         """The fingerprint as 16-bit numbers."""
         pairs = shingles(self.words.hashes(text.split()), WIDTH)
-        terms, counts = np.unique(terms_of(pairs), return_counts=True)
+        terms, counts = np.unique(pairs, return_counts=True)
         term, level = self.sampler.sample(terms, counts)
-        return (mixed((term.astype(np.uint64) << np.uint64(32)) ^ level.astype(np.uint64)) >> np.uint64(40)).astype(">u2")
+        return (mixed(mixed(term) ^ level.astype(np.uint64)) >> np.uint64(48)).astype(">u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

@@ -1,8 +1,11 @@
 """Consistent weighted sampling: samples of weighted terms that two texts share as often as their generalised Jaccard similarity says.
 
 For a term of weight w, sample k draws r and c from Gamma(2, 1) and b from [0, 1), all fixed by (term, k):
-t = floor(ln w / r + b), a = c / exp(r (t - b + 1)); the sample is the (term, t) of the smallest a. Terms are numbered by 15 bits
-of a hash, so what is fixed by (term, k) is a table that each worker makes once; terms that share a number count as one.
+t = floor(ln w / r + b), a = c / exp(r (t - b + 1)); the sample is the (term, t) of the smallest a.
+
+Sampler numbers terms by 15 bits of a hash, so what is fixed by (term, k) is a table that each worker makes once; terms that share a
+number count as one, which raises the rate between long texts. HashSampler takes 64-bit terms and draws from a hash of (term, k), so no
+terms are folded; its tables are only a cache.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ REMEMBER = 250_000
 
 
 class Sampler:
+    none, kind = TERMS, np.int64
+
     def __init__(self, samples: int, seed: int):
         rng = np.random.default_rng(seed)
         shape = (TERMS, samples)
@@ -30,15 +35,23 @@ class Sampler:
         self.one = self.ln_c - self.r * (1 - self.b)
         self.samples = samples
 
+    def units(self, terms: np.ndarray) -> np.ndarray:
+        """ln a with weight 1, a row for each term."""
+        return self.one[terms]
+
+    def draws(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, ln c and b."""
+        return self.r[terms], self.ln_c[terms], self.b[terms]
+
     def sample(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sampled terms and their t, for distinct terms (numbers below TERMS) and their weights. No terms: TERMS and 0 throughout."""
-        term, level, best = np.full(self.samples, TERMS, np.int64), np.zeros(self.samples, np.int64), np.full(self.samples, np.inf, np.float32)
+        """The sampled terms and their t, for distinct terms (numbers below `none`) and their weights. No terms: `none` and 0 throughout."""
+        term, level, best = np.full(self.samples, self.none, self.kind), np.zeros(self.samples, np.int64), np.full(self.samples, np.inf, np.float32)
         unit = weights == 1
         plain = terms[unit]
         every = np.arange(self.samples)
         for k in range(0, len(plain), 4096):
             part = plain[k : k + 4096]
-            a = self.one[part]
+            a = self.units(part)
             at = a.argmin(0)
             low = a[at, every]
             less = low < best
@@ -46,9 +59,9 @@ class Sampler:
         rest, w = terms[~unit], weights[~unit]
         for k in range(0, len(rest), 4096):
             part = rest[k : k + 4096]
-            r, b = self.r[part], self.b[part]
+            r, ln_c, b = self.draws(part)
             t = np.floor(np.log(w[k : k + 4096]).astype(np.float32)[:, None] / r + b)
-            a = self.ln_c[part] - r * (t - b + 1)
+            a = ln_c - r * (t - b + 1)
             at = a.argmin(0)
             low = a[at, every]
             less = low < best
@@ -56,9 +69,68 @@ class Sampler:
         return term, level
 
 
-def sampler(samples: int, seed: int) -> Sampler:
+class HashSampler(Sampler):
+    """For 64-bit terms, ascending. Recent terms' draws are kept, one for each number of TERM_BITS bits; what is kept never changes a result."""
+
+    none, kind = (1 << 64) - 1, np.uint64
+
+    def __init__(self, samples: int, seed: int):
+        self.salt = np.random.default_rng(seed).integers(0, 1 << 64, samples, np.uint64)
+        # No term has the complement of its own number in front.
+        self.keys = ~(np.arange(TERMS, dtype=np.uint64) << np.uint64(64 - TERM_BITS))
+        self.r, self.ln_c, self.b, self.one = (np.zeros((TERMS, samples), np.float32) for _ in range(4))
+        self.samples = samples
+
+    def drawn(self, terms: np.ndarray) -> tuple[np.ndarray, ...]:
+        """r, ln c, b and ln a with weight 1, from two words of hash: 24 bits for each uniform number."""
+        x = mixed(terms[:, None] ^ self.salt)
+        y = mixed(x + np.uint64(0x9E3779B97F4A7C15))
+        low, unit = np.uint64(0xFFFFFF), np.float32(2**-24)
+
+        def gamma(z: np.ndarray) -> np.ndarray:
+            u = ((z >> np.uint64(40)).astype(np.float32) + np.float32(1)) * unit
+            u *= (((z >> np.uint64(16)) & low).astype(np.float32) + np.float32(1)) * unit
+            return -np.log(u)
+
+        r, c = np.maximum(gamma(x), np.float32(1e-4)), np.maximum(gamma(y), np.float32(1e-30))
+        ln_c = np.log(c)
+        b = (((x << np.uint64(8)) ^ (y & np.uint64(0xFF))) & low).astype(np.float32) * unit
+        return r, ln_c, b, ln_c - r * (1 - b)
+
+    def keep(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the terms are kept, and which of them are not, since another one has their place."""
+        slot = (terms >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+        missing = np.flatnonzero(self.keys[slot] != terms)
+        if not len(missing):
+            return slot, missing
+        first = np.ones(len(missing), bool)
+        first[1:] = slot[missing[1:]] != slot[missing[:-1]]
+        for k in range(0, len(put := missing[first]), 512):
+            part = put[k : k + 512]
+            at = slot[part]
+            self.r[at], self.ln_c[at], self.b[at], self.one[at] = self.drawn(terms[part])
+            self.keys[at] = terms[part]
+        return slot, np.flatnonzero(self.keys[slot] != terms)
+
+    def units(self, terms: np.ndarray) -> np.ndarray:
+        slot, lost = self.keep(terms)
+        a = self.one[slot]
+        for k in range(0, len(lost), 512):
+            a[lost[k : k + 512]] = self.drawn(terms[lost[k : k + 512]])[3]
+        return a
+
+    def draws(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        slot, lost = self.keep(terms)
+        out = self.r[slot], self.ln_c[slot], self.b[slot]
+        for k in range(0, len(lost), 512):
+            for x, y in zip(out, self.drawn(terms[lost[k : k + 512]]), strict=False):
+                x[lost[k : k + 512]] = y
+        return out
+
+
+def sampler(samples: int, seed: int, kind: type[Sampler] = Sampler) -> Sampler:
     """One for each worker process."""
-    return held(f"sampler {samples} {seed}", lambda: Sampler(samples, seed))
+    return held(f"{kind.__name__} {samples} {seed}", lambda: kind(samples, seed))
 
 
 class Words:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -351,6 +352,43 @@ def test_fingerprints(spark, odd, none):
     assert one["near_next"] == 1.0
 
 
+def test_likeness_of_long_texts(spark):
+    rng = random.Random(17)
+    words = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    base = words(30_000)
+    texts = [" ".join(x) for x in (base, words(30_000), base[:20_000] + words(10_000), [*base[:300] * 40, *words(9000)])]
+    got = {r["doc_id"]: r for r in fingerprints.query(make(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+
+    def bag(t):
+        w = t.split()
+        return Counter(zip(w, w[1:]))  # noqa: B905
+
+    def near(estimate, a, b):
+        truth = (bag(a) & bag(b)).total() / (bag(a) | bag(b)).total()
+        assert abs(estimate - truth) <= 4 * (truth * (1 - truth) / fingerprints.SAMPLES) ** 0.5 + 0.02, (estimate, truth)
+
+    for i, t in enumerate(texts):
+        following = texts[i - 1]
+        near(got[i]["near_next"], t, following)
+        near(got[i]["near_edited"], t, fingerprints.edited(t, following))
+
+
+def test_hashed_draws_are_those_of_their_law():
+    from riskloom.llm.sampling import HashSampler
+
+    s, rng = HashSampler(600, 3), np.random.default_rng(18)
+    for size in (200, 60_000):
+        terms = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
+        a, b = rng.integers(0, 5, len(terms)), rng.integers(0, 5, len(terms))
+        a[: size // 3] = b[: size // 3]
+        truth = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        x, y = s.sample(terms[a > 0], a[a > 0]), s.sample(terms[b > 0], b[b > 0])
+        assert abs(((x[0] == y[0]) & (x[1] == y[1])).mean() - truth) < 0.08
+        # What is kept from other texts changes nothing.
+        again = HashSampler(600, 3).sample(terms[b > 0], b[b > 0])
+        assert (again[0] == y[0]).all() and (again[1] == y[1]).all()
+
+
 def brute_classes(rows):
     words = {i: (t or "").lower().split() for i, (_, t, *_) in enumerate(rows)}
     sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for i, w in words.items()}
