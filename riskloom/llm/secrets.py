@@ -2,8 +2,9 @@
 
 The fixed patterns are the base. What the base finds in a bounded sample of documents are the labelled credentials of each kind: a
 prefix tree of their symbol strings is reduced to a probabilistic automaton by merging states whose counts are statistically
-compatible (Hoeffding bounds, red-blue order). A second automaton is inferred from ordinary tokens of the same documents. Every other
-candidate token of every text is scored by its log likelihood for each symbol under a format's automaton, less that under the ordinary
+compatible (Hoeffding bounds, red-blue order). A second automaton is inferred from ordinary tokens of the same documents: short ones, and
+those long ones that no format's automaton rates nearly as high as its own credentials, so that bare credentials, however common, don't
+teach it their format. Every other candidate token of every text is scored by its log likelihood for each symbol under a format's automaton, less that under the ordinary
 one; it is a span of kind `format` if that is at least what nearly all labelled credentials of the format reach. Base spans stay as
 they are; candidates that overlap one are left out.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, shuffled_order, text_of
 
-#: Documents from which formats are learned, at most; credentials of a kind and ordinary tokens, at most.
+#: Documents from which formats are learned, at most; credentials of a kind, and ordinary tokens (short ones, and long ones), at most.
 SAMPLE_DOCS, PER_KIND, ORDINARY = 8000, 400, 3000
 KINDS = ("assign", "access", "hex", "format")
 #: Confidence of the state merging; candidates' least length; the share of labelled credentials below the threshold.
@@ -171,15 +172,26 @@ def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
 
 
 class Formats:
-    """The learned formats, each with its threshold, and the automaton of ordinary tokens."""
+    """The learned formats, each with its threshold, and the automaton of ordinary tokens.
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
+    Of unlabelled tokens, which may be credentials, those are ordinary that every format rates further below the median of its
+    labelled ones than twice as far as nearly all of these lie.
+    """
+
+    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], unlabelled: list[str] | None = None):
         self.parts: list[tuple[Automaton, float]] = []
         self.known: dict[str, bool] = {}
-        self.plain = infer([symbols(w) for w in ordinary]) if ordinary else None
-        for words in labelled.values():
-            if len(words) >= 8 and self.plain:
-                own = infer([symbols(w) for w in words])
+        formats = [(infer([symbols(w) for w in words]), words) for words in labelled.values() if len(words) >= 8]
+        plain = [symbols(w) for w in ordinary]
+        if unlabelled:
+            floors = []
+            for own, words in formats:
+                rates = sorted(own.rate(symbols(w)) for w in words)
+                floors.append((own, 2 * rates[int(BELOW * len(rates))] - rates[len(rates) // 2]))
+            plain += [w for w in map(symbols, unlabelled) if all(own.rate(w) < floor for own, floor in floors)]
+        self.plain = infer(plain) if plain else None
+        for own, words in formats:
+            if self.plain:
                 rates = sorted(self.gain(own, symbols(w)) for w in words)
                 self.parts.append((own, max(MARGIN, rates[int(BELOW * len(rates))])))
 
@@ -208,7 +220,7 @@ def learn(docs: DataFrame) -> Formats:
             for t in c["text"]:
                 spans = base_spans(t)
                 plain = [w for _, _, w in candidates(t, spans)][:3] + [w for w in re.findall(r"[A-Za-z0-9+/_=-]{6,}", t)[::40]][:6]
-                for k, w in [(KINDS[x[1]], credential(t, *x)) for x in spans[:20]] + [("plain", w) for w in plain]:
+                for k, w in [(KINDS[x[1]], credential(t, *x)) for x in spans[:20]] + [("plain" if len(w) < LEAST else "long", w) for w in plain]:
                     out["kind"].append(k)
                     out["word"].append(w[:200])
             return out
@@ -217,15 +229,11 @@ def learn(docs: DataFrame) -> Formats:
 
     picked = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").select("text")
     found = map_batches(picked, make, "kind string, word string").distinct()
-    labelled, ordinary = {}, []
-    for kind in (*KINDS[:3], "plain"):
-        rows = found.where(F.col("kind") == kind).orderBy(F.md5("word"), "word").limit(ORDINARY if kind == "plain" else PER_KIND).collect()
-        words = [r["word"] for r in rows]
-        if kind == "plain":
-            ordinary = words
-        else:
-            labelled[kind] = words
-    return Formats(labelled, ordinary)
+    words = {}
+    for kind in (*KINDS[:3], "plain", "long"):
+        rows = found.where(F.col("kind") == kind).orderBy(F.md5("word"), "word").limit(PER_KIND if kind in KINDS else ORDINARY).collect()
+        words[kind] = [r["word"] for r in rows]
+    return Formats({k: words[k] for k in KINDS[:3]}, words["plain"], words["long"])
 
 
 def query(docs: DataFrame, formats: Formats | None = None) -> DataFrame:

@@ -320,6 +320,32 @@ def test_secrets(spark, odd, none):
     assert secrets.query(none).count() == 0
 
 
+@pytest.mark.parametrize("bare", [0.01, 0.33, 1.0])
+def test_common_bare_credentials_are_found(spark, bare):
+    rng = random.Random(19)
+    sign = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "".join(rng.choice(sign) for _ in range(40))
+    vowels, rest = "aeiou", "bcdfghlmnprst"
+    word = lambda: "".join(rng.choice(rest) + rng.choice(vowels) for _ in range(rng.randrange(1, 6)))
+    rows, keys, plain = [], {}, {}
+    for i in range(1500):
+        words = [word() for _ in range(60)]
+        if rng.random() < 0.1:
+            words += ["api_key", "=", key()]
+        if rng.random() < 0.2:
+            plain[i] = f"{word()}_{word()}_{word()}_{rng.randrange(2000, 2030)}"
+            words.append(plain[i])
+        if rng.random() < bare:
+            keys[i] = key()
+            words.insert(20, keys[i])
+        rows.append((i, " ".join(words), "en", "s"))
+    text = {i: t for i, t, *_ in rows}
+    spans = {r["doc_id"]: [x.split(":") for x in r["spans"].split(",") if x.startswith("format")] for r in secrets.query(make(spark, rows)).collect()}
+    found = {i: {text[i][int(s) : int(e)] for _, s, e in x} for i, x in spans.items()}
+    assert sum(keys[i] in found[i] for i in keys) >= 0.9 * len(keys)
+    assert sum(plain[i] in found[i] for i in plain) <= 0.01 * len(plain)
+
+
 # fingerprints, near duplicates
 
 
