@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and formats learned by grammar inference.
 
-The fixed patterns are the base. What the base finds in a bounded sample of documents are the labelled credentials of each kind: a
-prefix tree of their symbol strings is reduced to a probabilistic automaton by merging states whose counts are statistically
-compatible (Hoeffding bounds, red-blue order). A second automaton is inferred from ordinary tokens of the same documents: short ones, and
+The fixed patterns are the base. What the base finds in the whole table are the labelled credentials of each kind, of which those with the
+smallest hashes are taken: a prefix tree of their symbol strings is reduced to a probabilistic automaton by merging states whose counts are statistically
+compatible (Hoeffding bounds, red-blue order). A second automaton is inferred from ordinary tokens of a bounded sample of documents: short ones, and
 those long ones that no format's automaton rates nearly as high as its own credentials, so that bare credentials, however common, don't
 teach it their format. Every other candidate token of every text is scored by its log likelihood for each symbol under a format's automaton, less that under the ordinary
 one; it is a span of kind `format` if that is at least what nearly all labelled credentials of the format reach. Base spans stay as
@@ -14,6 +14,7 @@ labelled credentials there is no `format` span.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -21,13 +22,13 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, shuffled_order, text_of
+from .common import map_batches, shuffled_order, stored, text_of
 
-#: Documents from which formats are learned, at most; credentials of a kind, and ordinary tokens (short ones, and long ones), at most.
+#: Documents from which ordinary tokens are taken, at most; credentials of a kind, and ordinary tokens (short ones, and long ones), at most.
 SAMPLE_DOCS, PER_KIND, ORDINARY = 8000, 400, 3000
 KINDS = ("assign", "access", "hex", "format")
 #: Confidence of the state merging; candidates' least length; the share of labelled credentials below the threshold.
-ALPHA, LEAST, BELOW = 0.05, 16, 0.05
+ALPHA, LEAST, BELOW = 0.05, 12, 0.05
 #: No candidate passes unless it is at least this likelier, for each symbol, as a credential than as an ordinary token.
 MARGIN = 1.0
 # ASCII only, so that no letter outside ASCII matches in the other case.
@@ -36,8 +37,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # Leftmost runs of [0-9a-f]+ are the maximal runs; those of 16 and more are the ones that count.
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
-_DIGIT = re.compile(r"[0-9]")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -58,17 +58,15 @@ def credential(text: str, start: int, kind: int, end: int) -> str:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """Tokens long enough to be credentials that hold a digit and overlap no base span."""
+    """Tokens of an assignment's characters, long enough to be credentials, that overlap no base span."""
     out: list[tuple[int, int, str]] = []
-    if not _DIGIT.search(text):
-        return out
     # Both stand in order of their starts, so one pass tells how far the base spans reach that begin before a candidate's end.
     k = reach = 0
     for m in _CANDIDATE.finditer(text):
         while k < len(taken) and taken[k][0] < m.end():
             reach = max(reach, taken[k][2])
             k += 1
-        if reach <= m.start() and _DIGIT.search(m[0]):
+        if reach <= m.start():
             out.append((m.start(), m.end(), m[0]))
     return out
 
@@ -211,27 +209,47 @@ def scan(text: str, formats: Formats | None) -> list[tuple[int, int, int]]:
 
 
 def learn(docs: DataFrame) -> Formats:
-    """Formats from at most SAMPLE_DOCS documents, picked by a hash of doc_id; only their ids are broadcast."""
+    """Formats of credentials from all documents, ordinary tokens from at most SAMPLE_DOCS, picked by a hash of doc_id; only their ids are broadcast."""
     ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(shuffled_order("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
 
+    def make_labelled():
+        # Of each kind, the task's smallest hashes so far: a credential that isn't among them can't be among the table's.
+        least: dict[int, list[tuple[str, str]]] = {k: [] for k in range(3)}
+
+        def f(c):
+            out = {"kind": [], "word": []}
+            for t in c["text"]:
+                for s, k, e in base_spans(t):
+                    word = credential(t, s, k, e)[:200]
+                    new, kept = (hashlib.md5(word.encode()).hexdigest(), word), least[k]
+                    at = bisect.bisect_left(kept, new)
+                    if at < PER_KIND and kept[at : at + 1] != [new]:
+                        kept.insert(at, new)
+                        del kept[PER_KIND:]
+                        out["kind"].append(KINDS[k])
+                        out["word"].append(word)
+            return out
+
+        return f
+
     def make():
         def f(c):
             out = {"kind": [], "word": []}
             for t in c["text"]:
-                spans = base_spans(t)
-                plain = [w for _, _, w in candidates(t, spans)][:3] + [w for w in re.findall(r"[A-Za-z0-9+/_=-]{6,}", t)[::40]][:6]
-                for k, w in [(KINDS[x[1]], credential(t, *x)) for x in spans[:20]] + [("plain" if len(w) < LEAST else "long", w) for w in plain]:
-                    out["kind"].append(k)
+                plain = [w for _, _, w in candidates(t, base_spans(t))][:3] + [w for w in re.findall(r"[A-Za-z0-9+/_=-]{6,}", t)[::40]][:6]
+                for w in plain:
+                    out["kind"].append("plain" if len(w) < LEAST else "long")
                     out["word"].append(w[:200])
             return out
 
         return f
 
     picked = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").select("text")
-    found = map_batches(picked, make, "kind string, word string").distinct()
+    tokens = map_batches(picked, make, "kind string, word string").distinct()
+    labelled = stored(map_batches(docs.select(text_of().alias("text")), make_labelled, "kind string, word string"), "credentials").distinct()
     words = {}
     for kind in (*KINDS[:3], "plain", "long"):
-        rows = found.where(F.col("kind") == kind).orderBy(F.md5("word"), "word").limit(PER_KIND if kind in KINDS else ORDINARY).collect()
+        rows = (labelled if kind in KINDS else tokens).where(F.col("kind") == kind).orderBy(F.md5("word"), "word").limit(PER_KIND if kind in KINDS else ORDINARY).collect()
         words[kind] = [r["word"] for r in rows]
     return Formats({k: words[k] for k in KINDS[:3]}, words["plain"], words["long"])
 

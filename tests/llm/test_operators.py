@@ -346,6 +346,22 @@ def test_common_bare_credentials_are_found(spark, bare):
     assert sum(plain[i] in found[i] for i in plain) <= 0.01 * len(plain)
 
 
+def test_rare_credentials_and_short_ones_are_learned(spark):
+    rng = random.Random(20)
+    key = lambda: "".join(rng.choice("QXZJKVWY") for _ in range(6)) + "." + "".join(rng.choice("QXZJKVWY") for _ in range(6))
+    text = lambda: " ".join("".join(rng.choice("aeioutnrshl") for _ in range(rng.randrange(2, 15))) for _ in range(20))
+    rows = [(i, text(), "en", "s") for i in range(30_000)]
+    for i in range(0, 30_000, 1500):
+        rows[i] = (i, f"{rows[i][1]} secret={key()}", "en", "s")
+    bare = {i: key() for i in range(7, 30_000, 1000)}
+    for i, k in bare.items():
+        rows[i] = (i, f"{rows[i][1]} {k} x", "en", "s")
+    got = {r["doc_id"]: r["spans"] for r in secrets.query(make(spark, rows)).collect()}
+    found = {i for i, k in bare.items() if f"format:{rows[i][1].index(k)}:" in got[i]}
+    assert len(found) >= 0.9 * len(bare)
+    assert sum("format" in s for i, s in got.items() if i not in bare) <= 30
+
+
 # fingerprints, near duplicates
 
 
