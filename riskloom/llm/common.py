@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: The white space that the contracts name: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,8 +22,8 @@ _HELD: dict[str, object] = {}
 
 
 def held(name: str, make: Callable[[], object]) -> object:
-    """A worker's one large object: the word cache of an encoder, or a sampler's tables. Making another lets go of the last, so that the
-    stages of a pipeline, which share workers, don't add up."""
+    """A worker's one large object, such as the word cache of an encoder. Making another lets go of the last, so that the stages of a
+    pipeline, which share workers, don't add up."""
     if name not in _HELD:
         _HELD.clear()
         _HELD[name] = make()
@@ -71,11 +72,34 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df, written once to the shared folder and read back: its lineage ends there, so lost executors don't cost its work."""
-    at = scratch_path(df.sparkSession, tag)
+    return _kept(df, scratch_path(df.sparkSession, tag))
+
+
+def _kept(df: DataFrame, at: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def remove(spark: SparkSession, at: str) -> None:
+    """Delete a folder, wherever Spark's file systems have it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Stored tables that are needed only until a result is stored, in one folder that goes then."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.at, self.n = spark, scratch_path(spark, tag), 0
+
+    def stored(self, df: DataFrame, tag: str) -> DataFrame:
+        self.n += 1
+        return _kept(df, f"{self.at}/{self.n:03d}-{tag}")
+
+    def drop(self) -> None:
+        remove(self.spark, self.at)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -128,27 +152,40 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
     return df.mapInArrow(run, schema)
 
 
-def _struct(schema: str):
-    from pyspark.sql.types import StructType
-
+def _struct(schema: str) -> StructType:
     return StructType.fromDDL(schema)
 
 
+def _comparable(kind: DataType) -> bool:
+    """Whether Spark can hash values of this type."""
+    if isinstance(kind, StructType):
+        return all(_comparable(f.dataType) for f in kind)
+    if isinstance(kind, ArrayType):
+        return _comparable(kind.elementType)
+    return not isinstance(kind, MapType | VariantType)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns. Those that hold a map or a variant are hashed as text."""
+    said = lambda f: F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, VariantType) else F.col(f"`{f.name}`").cast("string")
+    return F.xxhash64(*[F.col(f"`{f.name}`") if _comparable(f.dataType) else said(f) for f in df.schema])
+
+
 def keep_rows(docs: DataFrame, keys: Column, drop: DataFrame, repeated: DataFrame | None) -> DataFrame:
     """Rows of docs but for those in drop (node, doc_id); of the rows of a node in repeated (node), only the first.
 
     keys makes the 16-byte or 32-byte node of a row. Texts move only if drop is too large to broadcast (Spark checks its size).
-    Columns of docs may have any names: the two that this needs are put in a struct and left out again.
+    Columns of docs may have any names and types: the three that this needs stand beside a struct of them.
     """
-    node, row, key = "__rl_node", "__rl_row", "__rl_id"
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), keys.alias(node), F.col("doc_id").alias(key))
+    node, row, key, mark = "__rl_node", "__rl_row", "__rl_id", "__rl_mark"
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), keys.alias(node), F.col("doc_id").alias(key), row_hash(docs).alias(mark))
     gone = drop.select(F.col("node").alias("__rl_gone"), F.col("doc_id").alias("__rl_gone_id"))
     left = wide.join(gone, (F.col(node) == F.col("__rl_gone")) & F.col(key).eqNullSafe(F.col("__rl_gone_id")), "left_anti")
     if repeated is not None and not repeated.isEmpty():
         again = repeated.select(F.col("node").alias("__rl_again"))
-        once = left.join(again, F.col(node) == F.col("__rl_again"), "left_anti")
+        once = left.join(again, F.col(node) == F.col("__rl_again"), "left_anti").select(row)
         twice = left.join(again, F.col(node) == F.col("__rl_again"), "left_semi")
-        left = once.unionByName(twice.groupBy(node).agg(F.min(F.struct(F.xxhash64(row).alias("h"), F.col(row))).getField(row).alias(row)).select(row, F.col(node), F.col(f"{row}.doc_id").alias(key)))
+        left = once.unionByName(twice.groupBy(node).agg(F.min_by(row, mark).alias(row)).select(row))
     return left.select(f"{row}.*")
 
 
@@ -172,27 +209,28 @@ def join_hot(rows: DataFrame, values: DataFrame, key: str, count: str, total: in
     return out.select(*rows.columns, "__rl_got.*")
 
 
-#: Bits of a sieve: 1 MB, whatever the input. Where it fills up it lets more rows pass than it must, never fewer.
-SIEVE = 1 << 23
+def join_spread(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows joined to values, which have one row for each key of rows. Values of keys that are hot in rows (counted here) are broadcast."""
+    total = rows.count()
+    hot = rows.groupBy(key).count().where(F.col("count") * HOT_PARTS > total).select(key)
+    few = F.broadcast(values.join(F.broadcast(hot), key).select(key, F.struct(*[c for c in values.columns if c != key]).alias("__rl_few")))
+    tagged = rows.join(few, key, "left")
+    cold = tagged.where(F.col("__rl_few").isNull()).drop("__rl_few").join(values.hint("merge"), key)
+    warm = tagged.where(F.col("__rl_few").isNotNull()).select(*rows.columns, "__rl_few.*")
+    return warm.unionByName(cold)
 
 
 def sieve(rows: DataFrame, key: str, wanted: DataFrame, want: str) -> DataFrame:
-    """rows whose key may be among the wanted ones: a Bloom filter of fixed size, so that a join need not move the others."""
-    bit = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(SIEVE))
-    bits = bytearray(SIEVE // 8)
-    for r in wanted.select(bit(want).alias("b")).groupBy(F.shiftright("b", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(F.lit(32767))).alias("bits")).collect():
-        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
-    data = bytes(bits)
+    """rows whose 64-bit hash `key` may be among the wanted ones: a Bloom filter of 256 bitmaps of 32,768 bits, 1 MB whatever the input.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        table = np.frombuffer(data, np.uint8)
-        for b in batches:
-            at = b.column(b.num_columns - 1).to_numpy()
-            ok = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            got = b.filter(pa.array(ok.astype(bool)))
-            yield got.select(got.schema.names[:-1])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumn("__rl_bit", bit(key)).mapInArrow(run, schema)
+    So a join need not move the other rows. Where the bitmaps fill up they let more rows pass than they must, never fewer.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << 23))
+    bits = wanted.select(place(want).alias("__rl_place")).groupBy(F.shiftright("__rl_place", 15).alias("__rl_part"))
+    bits = bits.agg(F.bitmap_construct_agg(F.col("__rl_place").bitwiseAND(F.lit(32767))).alias("__rl_bits"))
+    at = F.col("__rl_place").bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__rl_bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    # 1, 2, 4 ... 128 is the bit of a place in its byte.
+    bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), at.bitwiseAND(F.lit(7)) + 1)
+    met = rows.withColumn("__rl_place", place(key)).withColumn("__rl_part", F.shiftright("__rl_place", 15)).join(F.broadcast(bits), "__rl_part")
+    return met.where(byte.bitwiseAND(bit) > 0).select(*rows.columns)

@@ -1,330 +1,395 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-Texts that are equal in lower case with single spaces are one node. A node's shingles are its runs of WIDTH words; term frequency is binary (a line repeated hundreds of times doesn't make two texts
-alike), so a shingle weighs its inverse document frequency, in [1 - FALL, 1]. Document frequencies are counted over all documents in a
-table of fixed size by hash, from which the level that chance collisions reach is taken off. BANDS bands of ROWS samples each put nodes
-in buckets, and two nodes are a candidate pair if they share a bucket. Two nodes are linked if their weighted Jaccard similarity, or that of
-their shingle sets, is at least SIMILARITY; classes are the connected components.
-
-No bucket's pairs are listed. First every node is verified against the first node of each of its buckets (by doc_id), and links make
-components. Then only nodes whose component differs from their bucket's first node's are left over; blocks of them are held against the
-rest of their bucket by matrix products of shingle sets, and only links between components come out. So each candidate pair is verified
-or in one component already: no link is lost, and there is no cap. Texts are dealt by (first node, part of 256 partners) and (bucket,
-block, part), so a first node with many partners, or a bucket with many rows, is spread over tasks.
-
-Null counts as empty; texts without a word are one class, and texts with fewer than WIDTH words have one shingle of all of them. Rows
-that repeat are in their class as often as they stand there. An empty table gives an empty result; extra columns are never read.
+Texts that are equal in lower case with single spaces are one node. A node's shingles are its runs of WIDTH words (64 bits of hash each).
+A shingle that stands n times in a text and in d of N documents weighs
+
+    (1 + ln n) * sqrt(idf(d) / idf(1)),   idf(d) = 1 + ln((1 + N) / (1 + d)).
+
+The root damps the inverse document frequency as the logarithm damps the term frequency: without it a large group of near copies lowers
+its own similarity. Document frequencies are counted over all documents in COUNTERS counters by hash, from which the median, what chance
+collisions add, is taken off; a counter within five standard deviations of the median counts as 1 (and so do shingles that stand in fewer
+documents than that). Weights are kept to 1 / 255.
+
+BANDS bands of ROWS samples each put nodes in buckets, and two nodes are a candidate pair if they share a bucket. Two nodes are linked if
+their weighted Jaccard similarity is at least SIMILARITY; classes are the connected components. Pairs of which fewer than LEAST of all
+BANDS * ROWS samples agree aren't verified: at a similarity of 0.8 that befalls one pair in 10^11, where bands miss one in 2500.
+
+No bucket's pairs are listed. First every node is verified against the first node of each of its buckets, and links make components. Then
+only nodes whose component differs from their bucket's first node's are left over; blocks of them are held against the rest of their bucket,
+first by their samples and then, for those with a pair that agrees enough, by their texts; only links between components come out. So each
+candidate pair is verified or in one component already: no link is lost, and there is no cap. What is held together is dealt by (first node,
+part of 256 partners) and (bucket, block, part), so a first node with many partners, or a bucket with many rows, is spread over tasks.
+
+Null counts as empty; texts without a word are one class, and texts with fewer than WIDTH words have one shingle of all of them. Texts of any
+length are read whole, in as many blocks of shingles as they need. Of rows that tie (same text, same doc_id) the first in the order of the
+input's partitions stays. Rows that repeat are in their class as often as they stand there. A class's id is its least doc_id, null last. An
+empty table gives an empty result; extra columns are never read, whatever their names and types.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_hot, keep_rows, map_batches, partitions, sieve, stored, text_of
-from .sampling import Words, mixed, sampler, shingles, terms_of
+from .common import SPACE, Scratch, join_hot, join_spread, keep_rows, partitions, sieve, stored, text_of
+from .sampling import Sampler, bags, mixed, slices
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 20, 5, 23
-#: The least inverse document frequency is 1 - FALL.
-FALL = 0.2
+#: The share of samples that must agree for a candidate pair to be verified.
+LEAST = 0.5
 #: Counters of the document frequency table, and how many of them go in one message.
-COUNTERS, CHUNK = 1 << 20, 1 << 16
+COUNTERS, CHUNK = 1 << 22, 1 << 18
 #: Partners of a first node that are verified by one task at a time.
 PARTNERS = 256
 #: Left-over nodes in a block, and rows of their bucket that one task holds against it.
-BLOCK, AGAINST = 64, 1024
-#: Shingles of the left-over nodes that are in one matrix product (a longer text is alone in its own).
-SHINGLES = 40_000
+BLOCK, AGAINST = 256, 1024
+
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def node_text(text: Column) -> Column:
+    return F.trim(F.lower(F.regexp_replace(text, SPACE, " ")))
 
 
 def node_of(text: Column) -> Column:
-    return F.unhex(F.md5(F.trim(F.lower(F.regexp_replace(text, SPACE, " ")))))
+    return F.unhex(F.md5(node_text(text)))
 
 
-def shingles_of(text: str, words: Words) -> np.ndarray:
-    return shingles(words.hashes(text.lower().split()), WIDTH)
+# Document frequencies.
 
 
-def frequency_levels(docs: DataFrame) -> np.ndarray:
-    """For each counter, half the binary logarithm (rounded down) of how far it exceeds what chance gives: 1 MB, whatever the input."""
+def _message(part: int, chunk: int, counts: np.ndarray) -> pa.RecordBatch:
+    data = zlib.compress(counts.astype("<u4").tobytes(), 1)
+    return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "data": pa.array([data], pa.binary())})
 
-    def packed(rows: dict[int, np.ndarray], part: int) -> pa.RecordBatch:
-        import zlib
 
-        data = [zlib.compress(x.astype("<u8").tobytes(), 1) for x in rows.values()]
-        return pa.RecordBatch.from_pydict({"part": pa.array([part] * len(rows), pa.int32()), "chunk": pa.array(list(rows), pa.int32()), "data": pa.array(data, pa.binary())})
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<u4")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        words, counts = Words(), np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                s = np.unique(shingles_of(t, words))
-                counts[np.unique(s & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
-        for k in range(0, COUNTERS, CHUNK):
-            if counts[k : k + CHUNK].any():
-                yield packed({k // CHUNK: counts[k : k + CHUNK]}, TaskContext.get().partitionId())
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Messages come one by one: a task holds one sum of the table at most, however many tasks counted."""
-        import zlib
+    counts = np.zeros(COUNTERS, np.uint32)
+    for whole in batches:
+        for i, j in slices(whole.column(0)):
+            terms, _, _ = bags(whole.column(0).slice(i, j - i), WIDTH)
+            np.add.at(counts, (terms & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
+    for k in range(0, COUNTERS, CHUNK):
+        if counts[k : k + CHUNK].any():
+            yield _message(TaskContext.get().partitionId(), k // CHUNK, counts[k : k + CHUNK])
 
-        from pyspark import TaskContext
 
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for chunk, data in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                sums.setdefault(chunk, np.zeros(CHUNK, np.int64))
-                sums[chunk] += np.frombuffer(zlib.decompress(data.as_buffer()), "<u8").astype(np.int64)
-        for chunk, x in sums.items():
-            yield packed({chunk: x}, TaskContext.get().partitionId())
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages come one by one: a task holds one sum of the table at most, however many tasks counted."""
+    from pyspark import TaskContext
+
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for chunk, data in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+            sums.setdefault(chunk, np.zeros(CHUNK, np.uint32))
+            sums[chunk] += _counts(data.as_buffer())
+    for chunk, x in sums.items():
+        yield _message(TaskContext.get().partitionId(), chunk, x)
 
-    import zlib
 
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """The counters over all of texts (text): 16 MB, whatever the input."""
     schema = "part int, chunk int, data binary"
-    parts = docs.select(text_of().alias("text")).mapInArrow(count, schema)
+    parts = texts.select("text").mapInArrow(_count, schema)
     # Two steps: first each task's share of all messages, then those of a chunk, of which there are no more than partitions.
-    parts = parts.repartition(partitions(docs.sparkSession), "part", "chunk").mapInArrow(add, schema)
-    parts = parts.repartition(COUNTERS // CHUNK, "chunk").mapInArrow(add, schema)
-    counts = np.zeros(COUNTERS, np.int64)
+    parts = parts.repartition(partitions(texts.sparkSession), "part", "chunk").mapInArrow(_add, schema)
+    parts = parts.repartition(COUNTERS // CHUNK, "chunk").mapInArrow(_add, schema)
+    counts = np.zeros(COUNTERS, np.uint32)
     for r in parts.collect():
-        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(r["data"])), "<u8")
-    load = float(np.median(counts))
-    excess = np.maximum(counts - (load + 5 * np.sqrt(load)), 1)
-    return (np.log2(excess) / 2).astype(np.uint8)
+        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = _counts(bytes(r["data"]))
+    return counts
+
 
+def levels_of(counts: np.ndarray, documents: int) -> np.ndarray:
+    """255 times the root of idf(d) / idf(1), for each counter: 4 MB."""
+    chance = float(np.median(counts))
+    d = np.where(counts > chance + 5 * np.sqrt(chance), counts - chance, 1).clip(1)
+    idf = lambda d: 1 + np.log((1 + documents) / (1 + d))
+    return np.maximum(1, np.round(255 * np.sqrt(np.maximum(idf(d), 0) / max(idf(1), 1e-9)))).clip(max=255).astype(np.uint8)
 
-def weighted(text: str, words: Words, levels: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of a text, sorted, and their weights."""
-    s = np.unique(shingles_of(text, words))
-    level = levels[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    return s, 1 - FALL * np.minimum(1.0, 2.0 * level / top)
 
+def weights_of(terms: np.ndarray, counts: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return (1 + np.log(counts)) * (levels[(terms & np.uint64(COUNTERS - 1)).astype(np.int64)] / 255.0)
 
-def bands_of(s: np.ndarray, w: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
-    terms, at = np.unique(terms_of(s), return_inverse=True)
-    term, level = sampler(bands * rows, SEED).sample(terms, np.bincount(at, w, len(terms)))
-    sample = mixed((term.astype(np.uint64) << np.uint64(32)) ^ (level.astype(np.int64).astype(np.uint64) & np.uint64(0xFFFFFFFF))).reshape(bands, rows)
-    out = np.arange(bands, dtype=np.uint64)
-    for k in range(rows):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + sample[:, k])
-    return out.astype(np.int64).tolist()
 
+# Samples and similarities.
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """Weighted Jaccard similarity, and that of the sets of shingles."""
+
+def bands_of(samples: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each band's samples, a row for each text."""
+    grouped = samples.reshape(len(samples), BANDS, ROWS)
+    out = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(samples), 0)
+    for k in range(ROWS):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + grouped[:, :, k])
+    return out.view(np.int64)
+
+
+def similarity(a: Bag, b: Bag) -> float:
+    """Weighted Jaccard similarity of (terms, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(i):
-        return 0.0, 0.0
     both = float(np.minimum(a[1][i], b[1][j]).sum())
-    return both / (float(a[1].sum()) + float(b[1].sum()) - both), len(i) / (len(a[0]) + len(b[0]) - len(i))
+    return both / (float(a[1].sum()) + float(b[1].sum()) - both) if both else 0.0
 
 
-def texts_of(docs: DataFrame, wants: DataFrame) -> DataFrame:
-    """wants (want, the id; wanted, the node; more) with the text of each."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("have"), text_of().alias("text"))
-    met = sieve(texts, "have", wants, "want").hint("merge").join(wants.hint("merge"), F.col("have").eqNullSafe(F.col("want")))
-    return met.where(node_of(F.col("text")) == F.col("wanted"))
+def weighed(texts: pa.Array, levels: np.ndarray) -> Iterator[Bag]:
+    for i, j in slices(texts):
+        terms, counts, starts = bags(texts.slice(i, j - i), WIDTH)
+        weights = weights_of(terms, counts, levels)
+        yield from ((terms[a:b], weights[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, top: float) -> DataFrame:
-    """node, first, similarity, plain for pairs (node, id, first, first_id)."""
-    spark = docs.sparkSession
-    pairs = stored(pairs, "pairs")
-    total = pairs.count()
-    sizes = pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
-    dealt = join_hot(pairs, stored(sizes, "pair-sizes"), "first", "n", total)
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PARTNERS)).cast("int"))
-    dealt = stored(dealt.select("node", "id", "first", "first_id", "part"), "pairs-dealt")
-    partners = dealt.select(F.col("id").alias("want"), F.col("node").alias("wanted"), "first", "part", F.lit(1).alias("role"))
-    firsts = dealt.select(F.col("first_id").alias("want"), F.col("first").alias("wanted"), "first", "part", F.lit(0).alias("role")).distinct()
-    wants = stored(partners.unionByName(firsts), "pair-texts")
-    met = texts_of(docs, wants)
-    met = met.select("first", "part", "role", "wanted", "text").repartition(partitions(spark), "first", "part").sortWithinPartitions("first", "part", "role")
-    schema = pa.schema([("node", pa.binary()), ("first", pa.binary()), ("similarity", pa.float64()), ("plain", pa.float64())])
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b).mean(-1)
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    """Binary signatures as rows of 16-bit numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), BANDS * ROWS)
 
+
+def _sign(levels: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, group, own = Words(), None, None
+        sampler = Sampler(BANDS * ROWS, SEED)
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                rows = []
-                for first, part, role, node, text in zip(*(c.to_pylist() for c in whole.slice(i, 512).columns), strict=True):
-                    if role == 0:
-                        if group != (first, part):
-                            group, own = (first, part), weighted(text, words, levels, top)
-                    elif group == (first, part):
-                        rows.append((node, first, *similarity(own, weighted(text, words, levels, top))))
-                columns = zip(*rows, strict=True) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), x.type) for c, x in zip(columns, schema, strict=True)], schema=schema)
+            for i, j in slices(whole.column(4)):
+                b = whole.slice(i, j - i)
+                terms, counts, starts = bags(b.column(4), WIDTH)
+                samples = sampler.sample(terms, weights_of(terms, counts, levels.value), starts)
+                some = np.diff(starts) > 0
+                flat = pa.array(bands_of(samples)[some].ravel(), pa.int64())
+                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]), pa.int32()), flat)
+                signs = pa.array([x.tobytes() for x in (samples >> np.uint64(48)).astype("<u2")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], bands, signs], names=["doc_id", "row", "mark", "node", "bands", "sign"])
+
+    return run
+
+
+# Verification.
+
+
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (k, first, sign, first_sign): the pairs (k, first) that agree enough."""
+    for b in batches:
+        ok = agreement(_signatures(b.column(2)), _signatures(b.column(3))) >= LEAST if b.num_rows else np.zeros(0, bool)
+        yield b.select(["k", "first"]).filter(pa.array(ok, pa.bool_()))
 
-    return stored(met.mapInArrow(run, "node binary, first binary, similarity double, plain double"), "verified")
 
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(k, text), the text in lower case with single spaces, for nodes (k, node, mark). Rows of docs that repeat are met once."""
+    texts = docs.select(_mark(), text_of().alias("text"))
+    met = sieve(texts, "mark", nodes, "mark").select(node_of(F.col("text")).alias("node"), node_text(F.col("text")).alias("text"))
+    return met.groupBy("node").agg(F.first("text").alias("text")).join(nodes.select("k", "node").hint("merge"), "node").select("k", "text")
 
-def components(edges: DataFrame) -> DataFrame:
+
+def _mark() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("bigint"), text_of()).alias("mark")
+
+
+def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, levels: Broadcast, scratch: Scratch) -> DataFrame:
+    """The pairs (k, first) that are linked."""
+    sizes = scratch.stored(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n")), "pair-sizes")
+    dealt = join_hot(pairs, sizes, "first", "n", pairs.count())
+    dealt = scratch.stored(dealt.select("k", "first", F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / PARTNERS)).cast("int").alias("part")), "pairs-dealt")
+    partners = dealt.select("k", "first", "part", F.lit(1).alias("role"))
+    wants = scratch.stored(partners.unionByName(dealt.select(F.col("first").alias("k"), "first", "part", F.lit(0).alias("role")).distinct()), "pair-wants")
+    texts = texts_of(docs, nodes.select("k", "node", "mark").join(wants.select("k").distinct(), "k", "left_semi"))
+    met = wants.join(scratch.stored(texts, "pair-texts").hint("merge"), "k").select("first", "part", "role", "k", "text")
+    met = met.repartition(partitions(docs.sparkSession), "first", "part").sortWithinPartitions("first", "part", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own = None, None
+        for b in batches:
+            out: tuple[list[int], list[int]] = ([], [])
+            for first, part, role, k, bag in zip(*(c.to_pylist() for c in b.columns[:4]), weighed(b.column(4), levels.value), strict=True):
+                if role == 0:
+                    group, own = (first, part), bag
+                elif group == (first, part) and similarity(own, bag) >= SIMILARITY:
+                    out[0].append(k)
+                    out[1].append(first)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["k", "first"])
+
+    return scratch.stored(met.mapInArrow(run, "k bigint, first bigint"), "verified")
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label (of all that are connected, one node) for the nodes of edges (a, b).
 
     Each round takes every node to its least neighbour (or itself), and edges to those; what is left has at most half the nodes that
-    aren't the least of their component.
+    aren't the least of their component. A node with many edges, or a label of many nodes, is spread over tasks.
     """
     labels, round_ = None, 0
-    edges = stored(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    edges = scratch.stored(edges.where("a <> b").select("a", "b").distinct(), "edges")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("b"))
-        to = stored(least.select(F.col("a").alias("from"), F.least("a", "b").alias("to")), f"least-{round_}")
+        to = scratch.stored(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")), f"least-{round_}")
         if labels is None:
-            labels = to.select(F.col("from").alias("node"), F.col("to").alias("label"))
+            labels = to.select(F.col("a").alias("node"), F.col("to").alias("label"))
         else:
-            moved = labels.join(to, labels["label"] == to["from"], "left")
-            labels = stored(moved.select("node", F.coalesce("to", "label").alias("label")), f"labels-{round_}")
-        ends = edges.join(to, edges["a"] == to["from"]).select(F.col("to").alias("a"), "b")
-        other = to.select(F.col("from").alias("from_b"), F.col("to").alias("to_b"))
-        ends = ends.join(other, F.col("b") == F.col("from_b")).select("a", F.col("to_b").alias("b"))
-        edges = stored(ends.where("a <> b").distinct(), f"edges-{round_}")
+            # Labels that no edge is left of stay as they are.
+            every = labels.select(F.col("label").alias("a")).distinct().join(to.hint("merge"), "a", "left").select("a", F.coalesce("to", "a").alias("to"))
+            moved = join_spread(labels.withColumnRenamed("label", "a"), scratch.stored(every, f"moves-{round_}"), "a")
+            labels = scratch.stored(moved.select("node", F.col("to").alias("label")), f"labels-{round_}")
+        ends = join_spread(edges, to, "a").select(F.col("to").alias("new_a"), "b")
+        ends = join_spread(ends, to.withColumnRenamed("a", "b"), "b").select(F.col("new_a").alias("a"), F.col("to").alias("b"))
+        edges = scratch.stored(ends.where("a <> b").distinct(), f"edges-{round_}")
         round_ += 1
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, node), one for each of docs, and nodes (node, id, n, class_id, class_node, class_size)."""
-    levels = frequency_levels(docs)
-    n_docs = docs.count()
-    top = float(np.log2(n_docs + 2))
-
-    def make():
-        words = Words()
-
-        def f(c):
-            bands = []
-            for t in c["text"]:
-                s, w = weighted(t, words, levels, top)
-                bands.append(bands_of(s, w) if len(s) else [])
-            return {"doc_id": c["doc_id"], "node": c["node"], "bands": bands}
-
-        return f
-
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    signed = stored(map_batches(texts.select("doc_id", node_of(F.col("text")).alias("node"), "text"), make, "doc_id bigint, node binary, bands array<bigint>", 256), "bands")
-    nodes = stored(signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "nodes")
-    rows = nodes.select("node", "id", F.explode("bands").alias("band"))
-    firsts = rows.groupBy("band").agg(F.min(F.struct("id", "node")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    firsts = stored(firsts.select("band", F.col("f.id").alias("first_id"), F.col("f.node").alias("first"), "c"), "firsts")
-    met = stored(join_hot(rows, firsts, "band", "c", n_docs).drop("c"), "buckets")
-    found = verify(docs, met.where("node <> first").select("node", "id", "first", "first_id").distinct(), levels, top)
-    linked = (F.col("similarity") >= SIMILARITY) | (F.col("plain") >= SIMILARITY)
-    labels = components(found.where(linked).select(F.col("node").alias("a"), F.col("first").alias("b")))
-    labels = _rest(docs, met, found, labels, linked, levels, top)
-    whole = nodes.select("node", "id", "n").join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
-    whole = stored(whole.select("node", "id", "n", F.coalesce("label", "node").alias("label")), "node-labels")
-    by = whole.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("f"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("c"))
-    by = stored(by.select("label", F.col("f.id").alias("class_id"), F.col("f.node").alias("class_node"), "class_size", "c"), "classes")
-    return signed.select("doc_id", "node"), stored(join_hot(whole, by, "label", "c", n_docs).drop("c", "label"), "node-classes")
-
-
-def _rest(docs: DataFrame, met: DataFrame, found: DataFrame, labels: DataFrame, linked: Column, levels: np.ndarray, top: float) -> DataFrame:
+    """Rows (doc_id, row, node), one for each of docs, and nodes (node, n, id, k, class_id, class_k, class_size); k is the row of a node's least doc_id."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _mark(), node_text(text_of()).alias("text"))
+    total = docs.count()
+    levels = spark.sparkContext.broadcast(levels_of(frequencies(texts), total))
+    numbered = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), "mark", F.unhex(F.md5("text")).alias("node"), "text")
+    signed = stored(numbered.mapInArrow(_sign(levels), "doc_id bigint, row bigint, mark bigint, node binary, bands array<bigint>, sign binary"), "signed")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "mark")).alias("f")
+    nodes = signed.groupBy("node").agg(least, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sign").alias("sign"))
+    nodes = scratch.stored(nodes.select(F.col("f.row").alias("k"), "node", F.col("f.doc_id").alias("id"), F.col("f.mark").alias("mark"), "n", "bands", "sign"), "nodes")
+    rows = nodes.select(F.explode("bands").alias("band"), "k")
+    firsts = scratch.stored(rows.groupBy("band").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "firsts")
+    met = scratch.stored(join_hot(rows, firsts, "band", "c", total), "buckets")
+    pairs = scratch.stored(met.where("k <> first").select("k", "first").distinct(), "pairs")
+    signs = nodes.select("k", "sign")
+    pairs = join_spread(pairs.join(signs, "k"), signs.select(F.col("k").alias("first"), F.col("sign").alias("first_sign")), "first")
+    pairs = scratch.stored(pairs.select("k", "first", "sign", "first_sign").mapInArrow(_agree, "k bigint, first bigint"), "pairs-agreeing")
+    linked = verify(docs, nodes, pairs, levels, scratch)
+    labels = components(linked.select(F.col("k").alias("a"), F.col("first").alias("b")), scratch)
+    labels = _rest(docs, nodes, met, firsts, labels, levels, scratch)
+    whole = nodes.select("node", "n", "id", "k").join(labels.withColumnRenamed("node", "k"), "k", "left")
+    whole = scratch.stored(whole.select("node", "n", "id", "k", F.coalesce("label", "k").alias("label")), "node-labels")
+    by = whole.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("f"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("c"))
+    by = scratch.stored(by.select("label", F.col("f.id").alias("class_id"), F.col("f.k").alias("class_k"), "class_size", "c"), "classes")
+    out = stored(join_hot(whole, by, "label", "c", total).drop("c", "label"), "node-classes")
+    scratch.drop()
+    levels.unpersist()
+    return signed.select("doc_id", "row", "node"), out
+
+
+def _rest(docs: DataFrame, nodes: DataFrame, met: DataFrame, firsts: DataFrame, labels: DataFrame, levels: Broadcast, scratch: Scratch) -> DataFrame:
     """labels after those nodes that share a bucket but not a component are held against each other."""
-    at = labels.select(F.col("node").alias("at"), "label")
-    by_first = labels.select(F.col("node").alias("at_first"), F.col("label").alias("first_label"))
-    # Only firsts of which some partner fell short can have a bucket with two components.
-    short = found.where(~linked).select("first").distinct()
-    part = met.join(short, "first", "left_semi")
-    part = part.join(at, F.col("node") == F.col("at"), "left").join(by_first, F.col("first") == F.col("at_first"), "left")
-    part = stored(part.select("band", "node", "id", F.coalesce("label", "node").alias("label"), F.coalesce("first_label", "first").alias("first_label")), "left-over")
+    spark = docs.sparkSession
+    # A node is in BANDS buckets at most, also as their first one, so no key of these joins is hot.
+    part = met.select("band", "k").join(labels.withColumnRenamed("node", "k"), "k", "left").select("band", "k", F.coalesce("label", "k").alias("label"))
+    heads = firsts.select("band", F.col("first").alias("k"), "c").join(labels.withColumnRenamed("node", "k"), "k", "left").select("band", "c", F.coalesce("label", "k").alias("first_label"))
+    part = scratch.stored(join_hot(scratch.stored(part, "bucket-labels"), scratch.stored(heads, "first-labels"), "band", "c", met.count()), "left-over")
     outside = F.col("label") != F.col("first_label")
-    sizes = stored(part.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("o")).where("o > 0"), "left-sizes")
-    rows = join_hot(part, sizes, "band", "n", part.count())
+    sizes = scratch.stored(part.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("o")).where("o > 0"), "left-sizes")
+    if sizes.isEmpty():
+        return labels
+    rows = join_hot(part.drop("c"), sizes, "band", "n", part.count())
+    rows = scratch.stored(rows.join(nodes.select("k", "sign"), "k"), "left-rows")
     blocks, parts = F.ceil(F.col("o") / BLOCK), F.ceil(F.col("n") / AGAINST)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-    want = [F.col("id").alias("want"), F.col("node").alias("wanted"), "label", "band"]
-    held = rows.where(outside).select(*want, F.pmod(F.xxhash64("node", F.lit(1)), blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("role"))
-    others = rows.select(*want, F.pmod(F.xxhash64("node"), parts).alias("part"), every(blocks).alias("block"), F.lit(1).alias("role"))
-    wants = stored(held.unionByName(others), "left-texts")
-    if wants.isEmpty():
-        return labels
-    met = texts_of(docs, wants).select("band", "block", "part", "role", "label", "text")
-    met = met.repartition(partitions(docs.sparkSession), "band", "block", "part").sortWithinPartitions("band", "block", "part", "role")
-    joined = components(stored(met.mapInArrow(_hold(levels, top), "a binary, b binary").distinct(), "left-links"))
-    to = joined.select(F.col("node").alias("from"), F.col("label").alias("to"))
-    old = labels.join(to, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
-    new = to.join(at, F.col("from") == F.col("at"), "left_anti").select(F.col("from").alias("node"), F.col("to").alias("label"))
-    return stored(old.unionByName(new), "labels-all")
-
-
-def _hold(levels: np.ndarray, top: float):
-    """Of rows (band, block, part, role, label, text): the pairs of labels that a link joins. Role 0 is the block, role 1 what it is held against."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-
-    def linked(own: list, other: list) -> set[tuple[bytes, bytes]]:
-        """In groups of a bounded number of shingles, so that long texts don't make large matrices."""
-        out, group, size = set(), [], 0
-        for x in own:
-            if group and size + len(x[1]) > SHINGLES:
-                for k in range(0, len(other), 32):
-                    out |= products(group, other[k : k + 32])
-                group, size = [], 0
-            group.append(x)
-            size += len(x[1])
-        for k in range(0, len(other), 32):
-            out |= products(group, other[k : k + 32])
-        return out
-
-    def products(own: list, other: list) -> set[tuple[bytes, bytes]]:
-        names = np.unique(np.concatenate([s for _, s, _ in own])) if own else np.empty(0, np.uint64)
-        if not len(names):
-            return set()
-        sums = [np.array([w.sum() for _, _, w in x]) for x in (own, other)]
-        sizes = [np.array([len(s) for _, s, _ in x]) for x in (own, other)]
-        flags = [np.zeros((len(x), len(names)), np.float32) for x in (own, other)]
-        weight = np.zeros(len(names), np.float32)
-        for x, f in zip((own, other), flags, strict=True):
-            for i, (_, s, w) in enumerate(x):
-                at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                ok = names[at] == s
-                f[i, at[ok]] = 1
-                weight[at[ok]] = w[ok]
-        plain, both = flags[0] @ flags[1].T, (flags[0] * weight) @ flags[1].T
-        near = (plain >= SIMILARITY * (sizes[0][:, None] + sizes[1] - plain) - 1e-6) | (both >= SIMILARITY * (sums[0][:, None] + sums[1] - both) - 1e-4)
-        return {(own[i][0], other[j][0]) for i, j in zip(*np.nonzero(near), strict=True) if own[i][0] != other[j][0]}
+    held = rows.where(outside).select("band", F.pmod(F.xxhash64("k", F.lit(1)), blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("role"), "k", "label", "sign")
+    others = rows.select("band", F.pmod(F.xxhash64("k"), parts).alias("part"), every(blocks).alias("block"), F.lit(1).alias("role"), "k", "label", "sign")
+    cell = ["band", "block", "part"]
+    dealt = held.unionByName(others).repartition(partitions(spark), *cell).sortWithinPartitions(*cell, "role", "k")
+    schema = "band bigint, block bigint, part bigint, role int, k bigint, label bigint, sign binary"
+    near = scratch.stored(dealt.mapInArrow(_by_cell(_agreeing), schema), "left-agreeing")
+    texts = texts_of(docs, nodes.select("k", "node", "mark").join(near.select("k").distinct(), "k", "left_semi"))
+    again = near.join(scratch.stored(texts, "left-texts").hint("merge"), "k").select(*cell, "role", "k", "label", "sign", "text")
+    again = again.repartition(partitions(spark), *cell).sortWithinPartitions(*cell, "role", "k")
+    links = scratch.stored(again.mapInArrow(_by_cell(_linking(levels)), "a bigint, b bigint").distinct(), "left-links")
+    to = components(links, scratch).select(F.col("node").alias("at"), F.col("label").alias("to"))
+    # Labels without an entry of their own are nodes that had no link so far.
+    moved = scratch.stored(labels.select(F.col("label").alias("at")).distinct().join(to.hint("merge"), "at", "left").select("at", F.coalesce("to", "at").alias("to")), "left-moves")
+    old = join_spread(labels.withColumnRenamed("label", "at"), moved, "at").select("node", F.col("to").alias("label"))
+    new = to.join(labels.select(F.col("node").alias("at")), "at", "left_anti").select(F.col("at").alias("node"), F.col("to").alias("label"))
+    return scratch.stored(old.unionByName(new), "labels-all")
+
+
+def _by_cell(held):
+    """Rows (band, block, part, role, k, label, sign ...), in order of their cells: held(cell's own rows, a run of the rows they are held against) makes a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, group, own, other, out = Words(), None, [], [], set()
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                for band, block, part, role, label, text in zip(*(c.to_pylist() for c in whole.slice(i, 512).columns), strict=True):
-                    if group != (band, block, part):
-                        out |= linked(own, other) if other else set()
-                        group, own, other = (band, block, part), [], []
-                    (other if role else own).append((label, *weighted(text, words, levels, top)))
-                    if len(other) == 128:
-                        out |= linked(own, other)
+        cell, own, other = None, [], []
+        for b in batches:
+            for i, j in slices(b.column(b.num_columns - 1)):
+                for row in zip(*(c.to_pylist() for c in b.slice(i, j - i).columns), strict=True):
+                    if row[:3] != cell:
+                        if own and other:
+                            yield held(own, other)
+                        cell, own, other = row[:3], [], []
+                    (other if row[3] else own).append(row)
+                    if len(other) == 2 * AGAINST:
+                        yield held(own, other)
                         other = []
-        out |= linked(own, other) if other else set()
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in sorted(out)], pa.binary()) for k in (0, 1)], schema=schema)
+        if own and other:
+            yield held(own, other)
 
     return run
 
 
-def query(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), class_size (rows), kept (in each class one row of the least doc_id)."""
-    from pyspark.sql import Window as W
+def _pairs(own: list[tuple], other: list[tuple]) -> np.ndarray:
+    """Which rows of own and other have different labels and samples that agree enough."""
+    signs = [np.frombuffer(b"".join(r[6] for r in x), "<u2").reshape(len(x), -1) for x in (own, other)]
+    labels = [np.array([r[5] for r in x]) for x in (own, other)]
+    near = np.stack([agreement(s, signs[1]) >= LEAST for s in signs[0]])
+    return near & (labels[0][:, None] != labels[1])
+
+
+def _agreeing(own: list[tuple], other: list[tuple]) -> pa.RecordBatch:
+    """The rows that have a pair."""
+    near = _pairs(own, other)
+    rows = [r for r, ok in zip(own, near.any(1).tolist(), strict=True) if ok] + [r for r, ok in zip(other, near.any(0).tolist(), strict=True) if ok]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["band", "block", "part", "role", "k", "label", "sign"])
+
 
+def _linking(levels: Broadcast):
+    """The labels (a, b) that pairs of linked rows join; a pair of labels that the cell's links have joined already isn't looked at again."""
+
+    def held(own: list[tuple], other: list[tuple]) -> pa.RecordBatch:
+        known: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while known.get(x, x) != x:
+                x = known[x]
+            return x
+
+        bag: dict[int, Bag] = {}
+        for r in (*own, *other):
+            if r[4] not in bag:
+                bag[r[4]] = next(weighed(pa.array([r[7]], pa.large_string()), levels.value))
+        out: list[tuple[int, int]] = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(_pairs(own, other))), strict=True):
+            a, b = own[i], other[j]
+            if root(a[5]) != root(b[5]) and similarity(bag[a[4]], bag[b[4]]) >= SIMILARITY:
+                known[root(a[5])] = root(b[5])
+                out.append((a[5], b[5]))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return held
+
+
+def _with_classes(docs: DataFrame) -> DataFrame:
     rows, nodes = classes(docs)
     out = join_hot(rows, nodes, "node", "n", rows.count())
-    first = (F.col("node") == F.col("class_node")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    nth = F.row_number().over(W.partitionBy("node", "doc_id").orderBy(F.lit(1)))
-    return out.select("doc_id", "class_id", "class_size", F.coalesce(first & (nth == 1), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "node", "class_id", "class_size", (F.col("row") == F.col("class_k")).alias("kept"))
+
+
+def query(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class), class_size (rows), kept (in each class one row of the least doc_id)."""
+    return _with_classes(docs).drop("node")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """The row of each class that has the least doc_id, with all its columns."""
-    rows, nodes = classes(docs)
-    out = join_hot(rows, nodes, "node", "n", rows.count())
-    out = out.withColumn("kept", (F.col("node") == F.col("class_node")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    one = stored(out.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.max("kept").alias("kept")), "near-rows")
+    one = stored(_with_classes(docs).groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.max("kept").alias("kept")), "near-rows")
     return keep_rows(docs, node_of(text_of()), one.where(~F.col("kept")).select("node", "doc_id"), one.where(F.col("kept") & (F.col("c") > 1)).select("node"))

@@ -1,164 +1,101 @@
 """Consistent weighted sampling: samples of weighted terms that two texts share as often as their generalised Jaccard similarity says.
 
-For a term of weight w, sample k draws r and c from Gamma(2, 1) and b from [0, 1), all fixed by (term, k):
+For a term of weight w, sample k has r and c from Gamma(2, 1) and b from [0, 1), all fixed by (term, k):
 t = floor(ln w / r + b), a = c / exp(r (t - b + 1)); the sample is the (term, t) of the smallest a.
 
-Sampler numbers terms by 15 bits of a hash, so what is fixed by (term, k) is a table that each worker makes once; terms that share a
-number count as one, which raises the rate between long texts. HashSampler takes 64-bit terms and draws from a hash of (term, k), so no
-terms are folded; its tables are only a cache.
+The three numbers are made of three exponential ones, which are hashes of (term, k): c = e1 + e2, r = ln(c / e1) + e3, b = e3 / r. Sums of
+two independent exponential numbers are Gamma(2, 1), e1 / c is uniform and independent of c, and e3 / r is uniform and independent of r, so
+these are the r, c and b that the method asks for. With them a is just e1 for a weight of 1, and a falls as the weight grows. So a term of
+weight 1 or less can't be the sample unless its e1 is at most the smallest a of all, and most terms need one 32-bit hash for each sample and
+no logarithm: `sample` first takes the terms whose e1 is below a limit, and where no a is below it, all of them. Nothing is approximated.
+
+Terms are 64-bit hashes and are never folded. No table is kept.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import held
-
-TERM_BITS = 15
-TERMS = 1 << TERM_BITS
-REMEMBER = 250_000
+#: The (term, level) of a text without terms.
+NONE = np.uint64((1 << 64) - 1)
+#: Terms hashed at once, expected terms below a sample's limit, and bytes of text handled at once.
+BLOCK, EXPECTED, AT_ONCE = 512, 6.0, 1 << 21
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Sampler:
-    none, kind = TERMS, np.int64
+    """`top` is the weight that counts as 1: all weights are divided by it, which leaves similarities as they are. Terms above it are never skipped."""
 
-    def __init__(self, samples: int, seed: int):
+    def __init__(self, samples: int, seed: int, top: float = 1.0):
         rng = np.random.default_rng(seed)
-        shape = (TERMS, samples)
-        self.r = rng.standard_gamma(2.0, shape, np.float32)
-        np.maximum(self.r, 1e-4, out=self.r)
-        self.ln_c = np.log(np.maximum(rng.standard_gamma(2.0, shape, np.float32), 1e-30))
-        self.b = rng.random(shape, np.float32)
-        # With weight 1 t is 0, so ln a is fixed.
-        self.one = self.ln_c - self.r * (1 - self.b)
-        self.samples = samples
-
-    def units(self, terms: np.ndarray) -> np.ndarray:
-        """ln a with weight 1, a row for each term."""
-        return self.one[terms]
-
-    def draws(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r, ln c and b."""
-        return self.r[terms], self.ln_c[terms], self.b[terms]
-
-    def sample(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sampled terms and their t, for distinct terms (numbers below `none`) and their weights. No terms: `none` and 0 throughout."""
-        term, level, best = np.full(self.samples, self.none, self.kind), np.zeros(self.samples, np.int64), np.full(self.samples, np.inf, np.float32)
-        unit = weights == 1
-        plain = terms[unit]
-        every = np.arange(self.samples)
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            a = self.units(part)
-            at = a.argmin(0)
-            low = a[at, every]
-            less = low < best
-            best[less], term[less] = low[less], part[at[less]]
-        rest, w = terms[~unit], weights[~unit]
-        for k in range(0, len(rest), 4096):
-            part = rest[k : k + 4096]
-            r, ln_c, b = self.draws(part)
-            t = np.floor(np.log(w[k : k + 4096]).astype(np.float32)[:, None] / r + b)
-            a = ln_c - r * (t - b + 1)
-            at = a.argmin(0)
-            low = a[at, every]
-            less = low < best
-            best[less], term[less], level[less] = low[less], part[at[less]], t[at[less], every[less]]
-        return term, level
-
-
-class HashSampler(Sampler):
-    """For 64-bit terms, ascending. Recent terms' draws are kept, one for each number of TERM_BITS bits; what is kept never changes a result."""
-
-    none, kind = (1 << 64) - 1, np.uint64
-
-    def __init__(self, samples: int, seed: int):
-        self.salt = np.random.default_rng(seed).integers(0, 1 << 64, samples, np.uint64)
-        # No term has the complement of its own number in front.
-        self.keys = ~(np.arange(TERMS, dtype=np.uint64) << np.uint64(64 - TERM_BITS))
-        self.r, self.ln_c, self.b, self.one = (np.zeros((TERMS, samples), np.float32) for _ in range(4))
-        self.samples = samples
-
-    def drawn(self, terms: np.ndarray) -> tuple[np.ndarray, ...]:
-        """r, ln c, b and ln a with weight 1, from two words of hash: 24 bits for each uniform number."""
-        x = mixed(terms[:, None] ^ self.salt)
-        y = mixed(x + np.uint64(0x9E3779B97F4A7C15))
-        low, unit = np.uint64(0xFFFFFF), np.float32(2**-24)
-
-        def gamma(z: np.ndarray) -> np.ndarray:
-            u = ((z >> np.uint64(40)).astype(np.float32) + np.float32(1)) * unit
-            u *= (((z >> np.uint64(16)) & low).astype(np.float32) + np.float32(1)) * unit
-            return -np.log(u)
-
-        r, c = np.maximum(gamma(x), np.float32(1e-4)), np.maximum(gamma(y), np.float32(1e-30))
-        ln_c = np.log(c)
-        b = (((x << np.uint64(8)) ^ (y & np.uint64(0xFF))) & low).astype(np.float32) * unit
-        return r, ln_c, b, ln_c - r * (1 - b)
-
-    def keep(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the terms are kept, and which of them are not, since another one has their place."""
-        slot = (terms >> np.uint64(64 - TERM_BITS)).astype(np.int64)
-        missing = np.flatnonzero(self.keys[slot] != terms)
-        if not len(missing):
-            return slot, missing
-        first = np.ones(len(missing), bool)
-        first[1:] = slot[missing[1:]] != slot[missing[:-1]]
-        for k in range(0, len(put := missing[first]), 512):
-            part = put[k : k + 512]
-            at = slot[part]
-            self.r[at], self.ln_c[at], self.b[at], self.one[at] = self.drawn(terms[part])
-            self.keys[at] = terms[part]
-        return slot, np.flatnonzero(self.keys[slot] != terms)
-
-    def units(self, terms: np.ndarray) -> np.ndarray:
-        slot, lost = self.keep(terms)
-        a = self.one[slot]
-        for k in range(0, len(lost), 512):
-            a[lost[k : k + 512]] = self.drawn(terms[lost[k : k + 512]])[3]
-        return a
-
-    def draws(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        slot, lost = self.keep(terms)
-        out = self.r[slot], self.ln_c[slot], self.b[slot]
-        for k in range(0, len(lost), 512):
-            for x, y in zip(out, self.drawn(terms[lost[k : k + 512]]), strict=False):
-                x[lost[k : k + 512]] = y
+        self.samples, self.top = samples, top
+        self.first, self.second = (rng.integers(0, 1 << 31, samples, np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
+        self.salt = rng.integers(0, 1 << 64, samples, np.uint64)
+
+    def hashes(self, terms: np.ndarray) -> np.ndarray:
+        """A 32-bit hash for each (term, sample): e1 grows with it."""
+        low, high = (terms & np.uint64(0xFFFFFFFF)).astype(np.uint32), (terms >> np.uint64(32)).astype(np.uint32)
+        x = low[:, None] * self.first
+        x += high[:, None]
+        x ^= x >> np.uint32(15)
+        x *= self.second
+        x ^= x >> np.uint32(13)
+        x *= np.uint32(0x9E3779B1)
+        return x
+
+    def rated(self, term: np.ndarray, k: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a and t of terms in samples k, with h = hashes(term)[k]."""
+        e1 = -np.log1p(-(h + 0.5) * 2.0**-32)
+        z = mixed(term ^ self.salt[k])
+        e2 = -np.log(((z >> np.uint64(32)) + 0.5) * 2.0**-32)
+        e3 = -np.log(((z & np.uint64(0xFFFFFFFF)) + 0.5) * 2.0**-32)
+        c = e1 + e2
+        r = np.log(c / e1) + e3
+        b = np.minimum(e3 / r, 1 - 1e-12)
+        t = np.floor(np.log(weight) / r + b)
+        return np.log(c) - r * (t - b + 1), t.astype(np.int64)
+
+    def sample(self, terms: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the samples, a row for each text. Text i has the distinct terms from starts[i] up to starts[i + 1]; one without terms has NONE."""
+        n, weights = len(starts) - 1, np.asarray(weights, np.float64) / self.top
+        out, sizes = np.full((n, self.samples), NONE, np.uint64), np.diff(starts)
+        if not len(terms):
+            return out
+        of = np.repeat(np.arange(n), sizes)
+        total = np.maximum(np.bincount(of, weights, n), 1e-300)
+        # Below this e1 are EXPECTED terms of a sample, if all weigh 1; the smallest a exceeds it with probability exp(-EXPECTED).
+        limit = EXPECTED / total
+        least = np.minimum(np.floor(-np.expm1(-limit) * 2.0**32), 2.0**32 - 1).astype(np.uint32)
+        least_of, above = least[of], weights > 1
+        best = np.full(n * self.samples, np.inf)
+        self._take(terms, weights, of, np.arange(len(terms)), least_of, above, best, out)
+        # Terms that were passed over have a hash above the limit's, so an a of at least that e1.
+        open_ = (best.reshape(n, self.samples) > np.log(-np.log1p(-(least[:, None] + 0.5) * 2.0**-32))) & (sizes > 0)[:, None]
+        for i in np.flatnonzero(open_.any(1)).tolist():
+            at = np.arange(starts[i], starts[i + 1])
+            self._take(terms, weights, of, at, least_of, np.ones(len(terms), bool), best, out, np.flatnonzero(open_[i]))
         return out
 
-
-def sampler(samples: int, seed: int, kind: type[Sampler] = Sampler) -> Sampler:
-    """One for each worker process."""
-    return held(f"{kind.__name__} {samples} {seed}", lambda: kind(samples, seed))
-
-
-class Words:
-    """crc32 of words, remembered up to a bound."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > REMEMBER:
-            self.known = {}
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of runs of `width` words; of fewer words, one of them all; of none, none."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    width = min(width, n)
-    out = np.full(n - width + 1, np.uint64(width), np.uint64)
-    for k in range(width):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n - width + 1 + k])
-    return out
+    def _take(self, terms, weights, of, at, least, above, best, out, only=None) -> None:
+        """Best (ln a by text and sample) and out, with the terms at `at` that are below their limits or are above 1 in weight (in samples `only`)."""
+        flat = out.reshape(-1)
+        for i in range(0, len(at), BLOCK):
+            rows = at[i : i + BLOCK]
+            h = self.hashes(terms[rows])
+            if only is None:
+                j, k = np.nonzero((h <= least[rows][:, None]) | above[rows][:, None])
+            else:
+                j, k = (x.ravel() for x in np.meshgrid(np.arange(len(rows)), only, indexing="ij"))
+            if not len(j):
+                continue
+            who = rows[j]
+            a, t = self.rated(terms[who], k, h[j, k], weights[who])
+            cell = of[who] * self.samples + k
+            np.minimum.at(best, cell, a)
+            won = a == best[cell]
+            flat[cell[won]] = mixed(mixed(terms[who[won]]) + t[won].astype(np.uint64) * _GOLDEN)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -168,6 +105,66 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def terms_of(hashes: np.ndarray) -> np.ndarray:
-    """The numbers of terms with these 64-bit hashes."""
-    return (hashes >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+def slices(texts: pa.Array, rows: int = 1024) -> list[tuple[int, int]]:
+    """(from, to) of runs of texts with at most AT_ONCE bytes (a longer text is alone) and at most `rows` rows."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
+    out, begin, size = [], 0, 0
+    for i, s in enumerate(sizes):
+        if i > begin and (size + s > AT_ONCE or i - begin >= rows):
+            out.append((begin, i))
+            begin, size = i, 0
+        size += s
+    return [*out, (begin, len(sizes))] if len(sizes) > begin else out
+
+
+def bags(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """terms, counts, starts: of each text its distinct runs of `width` words as 64-bit hashes, ascending, and how often they stand in it.
+
+    White space is space and tab to carriage return. A text with fewer words has one term of them all; one without words has none.
+    """
+    import xxhash
+
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    words = split.flatten().dictionary_encode()
+    names = words.dictionary.cast(pa.large_binary()).to_pylist()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+    there = np.array([bool(x) for x in names], bool)
+    at = words.indices.to_numpy(zero_copy_only=False)
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    keep = there[at] if len(at) else np.zeros(0, bool)
+    # Empty words come from white space at a text's ends.
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    begin, h = upto[offsets], known[at[keep]] if len(at) else np.zeros(0, np.uint64)
+    n = np.diff(begin)
+    terms = runs(h, width)
+    counts_of = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
+    ends = np.cumsum(counts_of)
+    first = ends - counts_of
+    take = np.repeat(begin[:-1] - first, counts_of) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.empty(len(take), np.uint64)
+    whole = take < len(terms)
+    out[whole] = terms[take[whole]]
+    for i in np.flatnonzero((n > 0) & (n < width)).tolist():
+        out[first[i]] = runs(h[begin[i] : begin[i + 1]], int(n[i]))[0]
+    for i, j in zip(first.tolist(), ends.tolist(), strict=True):
+        out[i:j].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[first[counts_of > 0]] = True
+    places = np.flatnonzero(new)
+    starts = np.searchsorted(places, np.concatenate([first, ends[-1:]])) if len(first) else np.zeros(1, np.int64)
+    return out[places], np.diff(places, append=len(out)), starts
+
+
+def runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of `width` hashes; none if there are fewer."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(n, np.uint64(width), np.uint64)
+    for k in range(width):
+        out *= _GOLDEN
+        out ^= out >> np.uint64(29)
+        out += hashes[k : n + k]
+    return mixed(out)

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from riskloom.llm import exact_dedup, fingerprints, langid, mixing, near_dedup, packing, quality, secrets, token_output, toxicity
+from riskloom.llm import common, exact_dedup, fingerprints, langid, mixing, near_dedup, packing, quality, sampling, secrets, token_output, toxicity
 from riskloom.llm.tokens import Encoder
 
 DIR = "/root/testdata/sf0.001"
@@ -365,22 +365,80 @@ def test_rare_credentials_and_short_ones_are_learned(spark):
 # fingerprints, near duplicates
 
 
-def test_collision_rate_is_generalised_jaccard():
-    from riskloom.llm.sampling import TERMS, Sampler
-
-    s, rng = Sampler(600, 3), np.random.default_rng(14)
-    for _ in range(4):
-        terms = rng.choice(TERMS, 200, replace=False)
-        a, b = rng.integers(0, 5, 200) * 1.0, rng.integers(0, 5, 200) * 1.0
-        a[:60] = b[:60]
-        truth = np.minimum(a, b).sum() / np.maximum(a, b).sum()
-        x, y = s.sample(terms[a > 0], a[a > 0]), s.sample(terms[b > 0], b[b > 0])
-        assert abs(((x[0] == y[0]) & (x[1] == y[1])).mean() - truth) < 0.08
+def generalised_jaccard(a, b):
+    return np.minimum(a, b).sum() / np.maximum(a, b).sum()
+
+
+@pytest.mark.parametrize("top", [1.0, 2.0])
+def test_collision_rate_is_generalised_jaccard(top):
+    s, rng, off = sampling.Sampler(600, 3, top), np.random.default_rng(14), []
+    for size in (1, 7, 200, 200, 200, 40_000):
+        for draw in (lambda n: rng.integers(0, 5, n) * 1.0, lambda n: rng.random(n) * 2):
+            terms = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
+            a = draw(size)
+            b = np.where(rng.random(size) < 0.3, draw(size), a)
+            if not (a.any() and b.any()):
+                continue
+            both = [(terms[w > 0], w[w > 0]) for w in (a, b)]
+            starts = np.cumsum([0, *(len(t) for t, _ in both)])
+            x, y = s.sample(np.concatenate([t for t, _ in both]), np.concatenate([w for _, w in both]), starts)
+            truth = generalised_jaccard(a, b)
+            off.append((x == y).mean() - truth)
+            assert abs(off[-1]) < 4.5 * (truth * (1 - truth) / 600) ** 0.5 + 0.005
+    assert abs(np.mean(off)) < 0.015
+
+
+def test_passed_over_terms_change_no_sample():
+    s, rng = sampling.Sampler(64, 5), np.random.default_rng(18)
+    for size, most in ((1, 1.0), (3, 0.01), (900, 1.3), (900, 0.2), (2000, 6.0)):
+        terms = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
+        w, h = rng.random(size) * most, s.hashes(terms)
+        want = []
+        for k in range(64):
+            a, t = s.rated(terms, np.full(size, k), h[:, k], w)
+            i = a.argmin()
+            want.append(sampling.mixed(sampling.mixed(terms[i : i + 1]) + t[i : i + 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0])
+        # Other texts in the same call change nothing either.
+        got = s.sample(np.concatenate([terms, terms[:1], terms]), np.concatenate([w, w[:1], w]), np.array([0, size, size, size + 1, 2 * size + 1]))
+        assert (got[0] == want).all() and (got[3] == want).all() and (got[1] == sampling.NONE).all()
+
+
+def test_draws_have_the_laws_of_the_method():
+    s, rng = sampling.Sampler(1, 9), np.random.default_rng(21)
+    terms = rng.integers(0, 1 << 64, 200_000, np.uint64)
+    h, zero = s.hashes(terms)[:, 0], np.zeros(len(terms), int)
+    # With weight 1 ln a is ln c - r (1 - b), and a is exponential; with a small weight w it is exponential of rate w.
+    for w in (1.0, 0.37, 0.02):
+        a, t = s.rated(terms, zero, h, np.full(len(terms), w))
+        x = np.exp(a) * w
+        assert abs(x.mean() - 1) < 0.01 and abs(x.std() - 1) < 0.02 and abs((x < np.log(2)).mean() - 0.5) < 0.005
+        assert (t <= 0).all() and (w < 1 or (t == 0).all())
+
+
+def test_bags_are_the_runs_of_words():
+    import pyarrow as pa
+
+    rng = random.Random(22)
+    texts = ["", " ", "a", " a  b\t", *(" ".join(rng.choice("abcé") for _ in range(rng.randrange(30))) for _ in range(200))]
+    names = {}
+    for width in (1, 2, 5):
+        terms, counts, starts = sampling.bags(pa.array(texts), width)
+        for i, t in enumerate(texts):
+            w = re.findall(r"[^\x20\x09-\x0D]+", t)
+            n = min(width, len(w))
+            want = Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if w else Counter()
+            mine = terms[starts[i] : starts[i + 1]]
+            assert sorted(counts[starts[i] : starts[i + 1]].tolist()) == sorted(want.values()) and (np.diff(mine.astype(object)) > 0).all()
+            if w:
+                assert names.setdefault(frozenset(want), tuple(mine)) == tuple(mine)
+    assert len(set(names.values())) == len(names)
 
 
 def test_fingerprints(spark, odd, none):
     got = fingerprints.query(odd).collect()
-    order = sorted(ODD, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    from pyspark.sql import functions as F
+
+    order = [tuple(r) for r in odd.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", "text").collect()]
     want = []
     for i, (d, t, *_) in enumerate(order):
         t, n = t or "", order[(i + 1) % len(order)][1] or ""
@@ -415,36 +473,26 @@ def test_likeness_of_long_texts(spark):
         near(got[i]["near_edited"], t, fingerprints.edited(t, following))
 
 
-def test_hashed_draws_are_those_of_their_law():
-    from riskloom.llm.sampling import HashSampler
-
-    s, rng = HashSampler(600, 3), np.random.default_rng(18)
-    for size in (200, 60_000):
-        terms = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
-        a, b = rng.integers(0, 5, len(terms)), rng.integers(0, 5, len(terms))
-        a[: size // 3] = b[: size // 3]
-        truth = np.minimum(a, b).sum() / np.maximum(a, b).sum()
-        x, y = s.sample(terms[a > 0], a[a > 0]), s.sample(terms[b > 0], b[b > 0])
-        assert abs(((x[0] == y[0]) & (x[1] == y[1])).mean() - truth) < 0.08
-        # What is kept from other texts changes nothing.
-        again = HashSampler(600, 3).sample(terms[b > 0], b[b > 0])
-        assert (again[0] == y[0]).all() and (again[1] == y[1]).all()
-
-
 def brute_classes(rows):
-    words = {i: (t or "").lower().split() for i, (_, t, *_) in enumerate(rows)}
-    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for i, w in words.items()}
-    root = dict.fromkeys(range(len(rows)))
-    root = {i: i for i in root}
+    """Components of the links of weighted Jaccard similarity 0.8 and more, with exact document frequencies."""
+    words = [(t or "").lower().split() for _, t, *_ in rows]
+    bags = [Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter() for w in words]
+    df = Counter(s for b in bags for s in b)
+    idf = lambda d: 1 + np.log((1 + len(rows)) / (1 + d))
+    rate = {s: min(255, max(1, round(255 * (idf(d) / idf(1)) ** 0.5))) / 255 for s, d in df.items()}
+    weights = [{s: (1 + np.log(n)) * rate[s] for s, n in b.items()} for b in bags]
+    root = {i: i for i in range(len(rows))}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in range(len(rows)):
+    for i, a in enumerate(weights):
         for j in range(i):
-            if sets[i] == sets[j] or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+            b = weights[j]
+            both = sum(min(w, b[s]) for s, w in a.items() if s in b)
+            if words[i] == words[j] or (both and both >= 0.8 * (sum(a.values()) + sum(b.values()) - both)):
                 root[find(i)] = find(j)
     return [find(i) for i in range(len(rows))]
 
@@ -480,8 +528,8 @@ def test_near_duplicates(spark, odd, none):
 def test_components(spark):
     rng = random.Random(16)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
-    df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")
-    got = {r["node"][0]: r["label"][0] for r in near_dedup.components(df).collect()}
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = {r["node"]: r["label"] for r in near_dedup.components(df, common.Scratch(spark, "components")).collect()}
     root = {}
 
     def find(i):
