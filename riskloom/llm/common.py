@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,8 +67,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named or now.get()
 
 
+_FOLDERS: list[str] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/riskloom/{tag}-{uuid.uuid4().hex}"
+    return f"{_FOLDERS[-1] if _FOLDERS else shared_dir(spark).rstrip('/') + '/riskloom'}/{tag}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, tag: str) -> Iterator[None]:
+    """What is stored within goes at the end, also where it fails. Results must be written elsewhere by then."""
+    at = scratch_path(spark, tag)
+    _FOLDERS.append(at)
+    try:
+        yield
+    finally:
+        _FOLDERS.pop()
+        remove(spark, at)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -80,10 +96,20 @@ def _kept(df: DataFrame, at: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def remove(spark: SparkSession, at: str) -> None:
-    """Delete a folder, wherever Spark's file systems have it."""
+def _place(spark: SparkSession, at: str):
+    """A path and its file system, wherever Spark has it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    path, files = _place(spark, at)
+    files.delete(path, True)
+
+
+def make_folder(spark: SparkSession, at: str) -> None:
+    path, files = _place(spark, at)
+    files.mkdirs(path)
 
 
 class Scratch:
@@ -119,19 +145,31 @@ def shuffled_order(key: str) -> Column:
     return F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
 
 
+#: Training texts: longer ones are represented by so many evenly spread passages of so many characters.
+LONG, PASSAGES = 1 << 16, 16
+
+
+def passages(text: Column) -> Column:
+    """A text to learn from, of bounded size: texts above LONG characters give PASSAGES passages that make up LONG characters."""
+    size, n = LONG // PASSAGES, F.length(text)
+    starts = [(n - F.lit(size)) * k / (PASSAGES - 1) for k in range(PASSAGES)]
+    return F.when(n <= LONG, text).otherwise(F.concat_ws("\n", *[F.substring(text, s.cast("int") + F.lit(1), F.lit(size)) for s in starts]))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, bounds: dict[int, int]) -> DataFrame:
     """(doc_id, text, label) of at most bounds[v] rows with label v, none from the held-out fold.
 
     The rows are picked by a hash of doc_id, so that the pick is the same in each run. Only their ids are broadcast: at most
-    sum(bounds.values()) of them.
+    sum(bounds.values()) of them. Of rows that share a doc_id the least text counts, of labels that do the largest.
     """
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     picks = None
     for value, bound in bounds.items():
         part = known.where(F.col("label") == value).orderBy(shuffled_order("doc_id"), "doc_id").limit(bound)
         picks = part if picks is None else picks.unionByName(part)
-    picks = picks.dropDuplicates(["doc_id"])
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picks), "doc_id").select("doc_id", "text", "label")
+    met = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picks), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, size: int = 1024) -> DataFrame:
@@ -174,7 +212,7 @@ def row_hash(df: DataFrame) -> Column:
 def keep_rows(docs: DataFrame, keys: Column, drop: DataFrame, repeated: DataFrame | None) -> DataFrame:
     """Rows of docs but for those in drop (node, doc_id); of the rows of a node in repeated (node), only the first.
 
-    keys makes the 16-byte or 32-byte node of a row. Texts move only if drop is too large to broadcast (Spark checks its size).
+    keys makes the node of a row, a digest or hash (never null). Texts move only if drop is too large to broadcast (Spark checks its size).
     Columns of docs may have any names and types: the three that this needs stand beside a struct of them.
     """
     node, row, key, mark = "__rl_node", "__rl_row", "__rl_id", "__rl_mark"

@@ -1,7 +1,7 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-Texts that are equal in lower case with single spaces are one node. A node's shingles are its runs of WIDTH words (64 bits of hash each).
-A shingle that stands n times in a text and in d of N documents weighs
+Texts that have the same words in lower case are one node (128 bits of hash). A node's shingles are its runs of WIDTH words (64 bits of hash
+each). A shingle that stands n times in a text and in d of N documents weighs
 
     (1 + ln n) * sqrt(idf(d) / idf(1)),   idf(d) = 1 + ln((1 + N) / (1 + d)).
 
@@ -33,12 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, join_hot, join_spread, keep_rows, partitions, sieve, stored, text_of
-from .sampling import Sampler, bags, mixed, slices
+from .common import Scratch, join_hot, join_spread, keep_rows, partitions, sieve, stored, text_of
+from .sampling import Sampler, bags, bags_of, mixed, slices, words_of
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 20, 5, 23
@@ -54,12 +55,14 @@ BLOCK, AGAINST = 256, 1024
 Bag = tuple[np.ndarray, np.ndarray]
 
 
-def node_text(text: Column) -> Column:
-    return F.trim(F.lower(F.regexp_replace(text, SPACE, " ")))
+def marks() -> list[Column]:
+    """Two hashes of a row's doc_id and text, by which rows are met again in the input."""
+    doc_id = F.col("doc_id").cast("bigint")
+    return [F.xxhash64(doc_id, text_of()).alias("mark"), F.xxhash64(text_of(), doc_id, F.lit(1)).alias("mark2")]
 
 
-def node_of(text: Column) -> Column:
-    return F.unhex(F.md5(node_text(text)))
+def lower(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(texts.cast(pa.large_string()))
 
 
 # Document frequencies.
@@ -80,7 +83,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, np.uint32)
     for whole in batches:
         for i, j in slices(whole.column(0)):
-            terms, _, _ = bags(whole.column(0).slice(i, j - i), WIDTH)
+            terms, _, _ = bags(lower(whole.column(0).slice(i, j - i)), WIDTH)
             np.add.at(counts, (terms & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
     for k in range(0, COUNTERS, CHUNK):
         if counts[k : k + CHUNK].any():
@@ -146,7 +149,7 @@ def similarity(a: Bag, b: Bag) -> float:
 
 def weighed(texts: pa.Array, levels: np.ndarray) -> Iterator[Bag]:
     for i, j in slices(texts):
-        terms, counts, starts = bags(texts.slice(i, j - i), WIDTH)
+        terms, counts, starts = bags(lower(texts.slice(i, j - i)), WIDTH)
         weights = weights_of(terms, counts, levels)
         yield from ((terms[a:b], weights[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
 
@@ -161,18 +164,24 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _sign(levels: Broadcast):
+    """Of (doc_id, row, mark, mark2, text): the same but for the text, and node, bands, sign."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         sampler = Sampler(BANDS * ROWS, SEED)
         for whole in batches:
             for i, j in slices(whole.column(4)):
                 b = whole.slice(i, j - i)
-                terms, counts, starts = bags(b.column(4), WIDTH)
+                h, begin = words_of(lower(b.column(4)))
+                nodes = pa.array([xxhash.xxh3_128_digest(h[x:y].tobytes()) for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())
+                terms, counts, starts = bags_of(h, begin, WIDTH)
                 samples = sampler.sample(terms, weights_of(terms, counts, levels.value), starts)
                 some = np.diff(starts) > 0
                 flat = pa.array(bands_of(samples)[some].ravel(), pa.int64())
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]), pa.int32()), flat)
                 signs = pa.array([x.tobytes() for x in (samples >> np.uint64(48)).astype("<u2")], pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], bands, signs], names=["doc_id", "row", "mark", "node", "bands", "sign"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], nodes, bands, signs], names=["doc_id", "row", "mark", "mark2", "node", "bands", "sign"])
 
     return run
 
@@ -188,14 +197,9 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(k, text), the text in lower case with single spaces, for nodes (k, node, mark). Rows of docs that repeat are met once."""
-    texts = docs.select(_mark(), text_of().alias("text"))
-    met = sieve(texts, "mark", nodes, "mark").select(node_of(F.col("text")).alias("node"), node_text(F.col("text")).alias("text"))
-    return met.groupBy("node").agg(F.first("text").alias("text")).join(nodes.select("k", "node").hint("merge"), "node").select("k", "text")
-
-
-def _mark() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("bigint"), text_of()).alias("mark")
+    """(k, text) for nodes (k, mark, mark2). Rows of docs that repeat are met once."""
+    met = sieve(docs.select(*marks(), text_of().alias("text")), "mark", nodes, "mark")
+    return met.groupBy("mark", "mark2").agg(F.first("text").alias("text")).join(nodes.hint("merge"), ["mark", "mark2"]).select("k", "text")
 
 
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, levels: Broadcast, scratch: Scratch) -> DataFrame:
@@ -205,7 +209,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, levels: Broadcas
     dealt = scratch.stored(dealt.select("k", "first", F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / PARTNERS)).cast("int").alias("part")), "pairs-dealt")
     partners = dealt.select("k", "first", "part", F.lit(1).alias("role"))
     wants = scratch.stored(partners.unionByName(dealt.select(F.col("first").alias("k"), "first", "part", F.lit(0).alias("role")).distinct()), "pair-wants")
-    texts = texts_of(docs, nodes.select("k", "node", "mark").join(wants.select("k").distinct(), "k", "left_semi"))
+    texts = texts_of(docs, nodes.select("k", "mark", "mark2").join(wants.select("k").distinct(), "k", "left_semi"))
     met = wants.join(scratch.stored(texts, "pair-texts").hint("merge"), "k").select("first", "part", "role", "k", "text")
     met = met.repartition(partitions(docs.sparkSession), "first", "part").sortWithinPartitions("first", "part", "role")
 
@@ -250,16 +254,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, row, node), one for each of docs, and nodes (node, n, id, k, class_id, class_k, class_size); k is the row of a node's least doc_id."""
+    """Rows (doc_id, row, mark, node), one for each of docs, and nodes (node, n, id, k, class_id, class_k, class_size); k is the row of a node's least doc_id."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _mark(), node_text(text_of()).alias("text"))
     total = docs.count()
-    levels = spark.sparkContext.broadcast(levels_of(frequencies(texts), total))
-    numbered = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), "mark", F.unhex(F.md5("text")).alias("node"), "text")
-    signed = stored(numbered.mapInArrow(_sign(levels), "doc_id bigint, row bigint, mark bigint, node binary, bands array<bigint>, sign binary"), "signed")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "mark")).alias("f")
+    levels = spark.sparkContext.broadcast(levels_of(frequencies(docs.select(text_of().alias("text"))), total))
+    numbered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), *marks(), text_of().alias("text"))
+    signed = stored(numbered.mapInArrow(_sign(levels), "doc_id bigint, row bigint, mark bigint, mark2 bigint, node binary, bands array<bigint>, sign binary"), "signed")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "mark", "mark2")).alias("f")
     nodes = signed.groupBy("node").agg(least, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sign").alias("sign"))
-    nodes = scratch.stored(nodes.select(F.col("f.row").alias("k"), "node", F.col("f.doc_id").alias("id"), F.col("f.mark").alias("mark"), "n", "bands", "sign"), "nodes")
+    nodes = scratch.stored(nodes.select(F.col("f.row").alias("k"), "node", F.col("f.doc_id").alias("id"), "f.mark", "f.mark2", "n", "bands", "sign"), "nodes")
     rows = nodes.select(F.explode("bands").alias("band"), "k")
     firsts = scratch.stored(rows.groupBy("band").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "firsts")
     met = scratch.stored(join_hot(rows, firsts, "band", "c", total), "buckets")
@@ -277,7 +280,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = stored(join_hot(whole, by, "label", "c", total).drop("c", "label"), "node-classes")
     scratch.drop()
     levels.unpersist()
-    return signed.select("doc_id", "row", "node"), out
+    return signed.select("doc_id", "row", "mark", "node"), out
 
 
 def _rest(docs: DataFrame, nodes: DataFrame, met: DataFrame, firsts: DataFrame, labels: DataFrame, levels: Broadcast, scratch: Scratch) -> DataFrame:
@@ -285,10 +288,12 @@ def _rest(docs: DataFrame, nodes: DataFrame, met: DataFrame, firsts: DataFrame,
     spark = docs.sparkSession
     # A node is in BANDS buckets at most, also as their first one, so no key of these joins is hot.
     part = met.select("band", "k").join(labels.withColumnRenamed("node", "k"), "k", "left").select("band", "k", F.coalesce("label", "k").alias("label"))
-    heads = firsts.select("band", F.col("first").alias("k"), "c").join(labels.withColumnRenamed("node", "k"), "k", "left").select("band", "c", F.coalesce("label", "k").alias("first_label"))
+    heads = firsts.withColumnRenamed("first", "k").join(labels.withColumnRenamed("node", "k"), "k", "left").select("band", "c", F.col("k").alias("first"), F.coalesce("label", "k").alias("first_label"))
     part = scratch.stored(join_hot(scratch.stored(part, "bucket-labels"), scratch.stored(heads, "first-labels"), "band", "c", met.count()), "left-over")
     outside = F.col("label") != F.col("first_label")
-    sizes = scratch.stored(part.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("o")).where("o > 0"), "left-sizes")
+    # The first ones have been met by all.
+    part = part.where("k <> first").drop("first")
+    sizes = scratch.stored(part.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("o")).where("o > 0 AND n > 1"), "left-sizes")
     if sizes.isEmpty():
         return labels
     rows = join_hot(part.drop("c"), sizes, "band", "n", part.count())
@@ -301,7 +306,7 @@ def _rest(docs: DataFrame, nodes: DataFrame, met: DataFrame, firsts: DataFrame,
     dealt = held.unionByName(others).repartition(partitions(spark), *cell).sortWithinPartitions(*cell, "role", "k")
     schema = "band bigint, block bigint, part bigint, role int, k bigint, label bigint, sign binary"
     near = scratch.stored(dealt.mapInArrow(_by_cell(_agreeing), schema), "left-agreeing")
-    texts = texts_of(docs, nodes.select("k", "node", "mark").join(near.select("k").distinct(), "k", "left_semi"))
+    texts = texts_of(docs, nodes.select("k", "mark", "mark2").join(near.select("k").distinct(), "k", "left_semi"))
     again = near.join(scratch.stored(texts, "left-texts").hint("merge"), "k").select(*cell, "role", "k", "label", "sign", "text")
     again = again.repartition(partitions(spark), *cell).sortWithinPartitions(*cell, "role", "k")
     links = scratch.stored(again.mapInArrow(_by_cell(_linking(levels)), "a bigint, b bigint").distinct(), "left-links")
@@ -339,7 +344,7 @@ def _pairs(own: list[tuple], other: list[tuple]) -> np.ndarray:
     """Which rows of own and other have different labels and samples that agree enough."""
     signs = [np.frombuffer(b"".join(r[6] for r in x), "<u2").reshape(len(x), -1) for x in (own, other)]
     labels = [np.array([r[5] for r in x]) for x in (own, other)]
-    near = np.stack([agreement(s, signs[1]) >= LEAST for s in signs[0]])
+    near = np.stack([agreement(s, signs[1]) >= LEAST for s in signs[0]]) if len(own) > 1 else (agreement(signs[0], signs[1]) >= LEAST)[None]
     return near & (labels[0][:, None] != labels[1])
 
 
@@ -363,12 +368,10 @@ def _linking(levels: Broadcast):
                 x = known[x]
             return x
 
-        bag: dict[int, Bag] = {}
-        for r in (*own, *other):
-            if r[4] not in bag:
-                bag[r[4]] = next(weighed(pa.array([r[7]], pa.large_string()), levels.value))
-        out: list[tuple[int, int]] = []
-        for i, j in zip(*(x.tolist() for x in np.nonzero(_pairs(own, other))), strict=True):
+        pairs, out = np.nonzero(_pairs(own, other)), []
+        texts = {r[4]: r[7] for r in (*(own[i] for i in set(pairs[0].tolist())), *(other[j] for j in set(pairs[1].tolist())))}
+        bag = dict(zip(texts, weighed(pa.array(list(texts.values()), pa.large_string()), levels.value), strict=True))
+        for i, j in zip(*(x.tolist() for x in pairs), strict=True):
             a, b = own[i], other[j]
             if root(a[5]) != root(b[5]) and similarity(bag[a[4]], bag[b[4]]) >= SIMILARITY:
                 known[root(a[5])] = root(b[5])
@@ -381,15 +384,15 @@ def _linking(levels: Broadcast):
 def _with_classes(docs: DataFrame) -> DataFrame:
     rows, nodes = classes(docs)
     out = join_hot(rows, nodes, "node", "n", rows.count())
-    return out.select("doc_id", "node", "class_id", "class_size", (F.col("row") == F.col("class_k")).alias("kept"))
+    return out.select("doc_id", "mark", "class_id", "class_size", (F.col("row") == F.col("class_k")).alias("kept"))
 
 
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size (rows), kept (in each class one row of the least doc_id)."""
-    return _with_classes(docs).drop("node")
+    return _with_classes(docs).drop("mark")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """The row of each class that has the least doc_id, with all its columns."""
-    one = stored(_with_classes(docs).groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.max("kept").alias("kept")), "near-rows")
-    return keep_rows(docs, node_of(text_of()), one.where(~F.col("kept")).select("node", "doc_id"), one.where(F.col("kept") & (F.col("c") > 1)).select("node"))
+    one = stored(_with_classes(docs).groupBy(F.col("mark").alias("node"), "doc_id").agg(F.count(F.lit(1)).alias("c"), F.max("kept").alias("kept")), "near-rows")
+    return keep_rows(docs, marks()[0], one.where(~F.col("kept")).select("node", "doc_id"), one.where(F.col("kept") & (F.col("c") > 1)).select("node"))
