@@ -8,6 +8,23 @@ def test_simple_yaml():
     assert got == {"version": "1", "settings": {"severity_threshold": "HIGH", "strict": True}, "ignore_paths": ["tests/*", "docs/*"], "rules": {}}
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("", {}),
+        ("a: 1\nb:TRUE\n  c: 'x'\n", {"a": "1", "b": True, "c": "x"}),
+        ("s:\n  a: \"false\"\n  - b: c\n  plain\n# s2:\n", {"s": {"a": False, "- b": "c"}}),
+        ("s:\n - one\n -two\n- 'three'\n  k: v\n - four:5\n", {"s": ["one", "three", "four:5"]}),
+        ("s :\nt: 3\n  u: 4\n- v\n- w: x", {"s": {}, "t": "3", "u": "4", "- w": "x"}),
+        ("s:\n a: 1\n", {"s": {}, "a": "1"}),
+        ("\ts:\n  a: b: c\n", {"s": {"a": "b: c"}}),
+        ("url: http://x/:\n", {"url: http://x/": {}}),
+    ],
+)
+def test_simple_yaml_lines(text, want):
+    assert C.parse_simple_yaml(text) == want
+
+
 def test_validation(capsys):
     for bad in ({"settings": {"severity_threshold": "x"}}, {"ignore_paths": {}}, {"rules": []}, {"settings": []}):
         with pytest.raises(ValueError):
