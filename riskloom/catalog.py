@@ -12,6 +12,7 @@ from .functions import text as X
 from .operators import chunk, dedup, diff, match, paths, pyast
 from .operators.rules import RULES, by_family, re2_pattern, rules_frame
 from .plans import evaluate, report, scan
+from .sources import tree
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -262,17 +263,44 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL["severity_counts"] = _found() + " SELECT count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high FROM hits"
 
 
+#: Severities by line, so that every rank and an unknown one occur; the rest keep their rule's.
+_MIXED = ("LOW", "INFO", "MEDIUM", "odd")
+
+
+def _mixed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.get(F.array(*map(F.lit, _MIXED)), F.col("line") % 7)
+    return _corpus_findings(spark, sf_dir).withColumn("severity", F.coalesce(kind, F.col("severity")))
+
+
+_MIXED_SQL = "coalesce([" + ", ".join(map(_lit, _MIXED)) + "][(line_num % 7) + 1], severity)"
+_GATES = ("INFO", "low", "MEDIUM", "HIGH", "CRITICAL", "other")
+
+
 @_add
 def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = _corpus_findings(spark, sf_dir)
+    """For each file and each threshold whether the gate fails. What the scan found of a file is shuffled once, whatever the thresholds."""
+    by = _mixed_findings(spark, sf_dir).select("file", "severity").distinct()
     out = None
-    for least in ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL", "other"):
-        part = report.gate(by.where("severity = 'HIGH'"), least).select(F.lit(least).alias("least"), "fail")
+    for least in _GATES:
+        part = report.gate(by, least, "file").select("file", F.lit(least).alias("least"), "fail")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-_SQL["severity_gate"] = "SELECT * FROM (VALUES ('INFO', true), ('LOW', true), ('MEDIUM', true), ('HIGH', true), ('CRITICAL', false), ('other', true)) v(least, fail)"
+_SQL["severity_gate"] = _found() + f""", ranks(name, place) AS (VALUES ('INFO', 0), ('LOW', 1), ('MEDIUM', 2), ('HIGH', 3), ('CRITICAL', 4)),
+  worst AS (SELECT file, max(coalesce(place, 1)) AS place FROM (SELECT file, {_MIXED_SQL} AS s FROM hits) LEFT JOIN ranks ON s = name GROUP BY file),
+  least(least) AS (VALUES {', '.join(f"({_lit(x)})" for x in _GATES)})
+  SELECT file, least, worst.place >= coalesce(r.place, 3) AS fail FROM worst CROSS JOIN least LEFT JOIN ranks r ON r.name = upper(least)"""
+
+
+@_add
+def sarif_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat rows of all severities as SARIF results: places are split at their last colon."""
+    return report.sarif_results(report.from_rows(report.finding_rows(_mixed_findings(spark, sf_dir))))
+
+
+_SQL["sarif_levels"] = _found() + f""" SELECT rule_id, CASE {_MIXED_SQL} WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END AS level,
+  title || ': ' || {_SNIP.format('t')} AS message, file AS uri, CAST(greatest(1, line_num) AS INT) AS start_line FROM hits"""
 
 
 @_add
@@ -420,6 +448,51 @@ def tree_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan_files(f)[0].select("file", "line", "rule_id", "severity", "analyzer", "snippet")
 
 
+# Files of the corpus that end in .py hold lines of all languages and can't be parsed; those of _python_files can.
+_SQL["tree_findings"] = f"""WITH RECURSIVE {C.corpus_sql()}, {_RULES}, kind AS (SELECT * FROM corpus WHERE NOT {_IGNORED.format('file')} AND NOT {_PRUNED}),
+p AS (SELECT * FROM (SELECT -1 - event_id AS id, file || '.py' AS file, template, trim(text) AS t, row_number() OVER (PARTITION BY file ORDER BY line_num) AS line FROM corpus WHERE template IN (10, 11, 12, 25, 28))
+  WHERE NOT {_IGNORED.format('file')} AND NOT {_PRUNED}),
+calls AS (SELECT id, file, line, t, CASE template WHEN 10 THEN 'PY-DYN-001' WHEN 11 THEN 'PY-CMD-001' ELSE 'PY-DESERIAL-001' END AS rule_id FROM p WHERE template IN (10, 11, 12)),
+given AS (SELECT event_id AS id, file, line_num, text AS t FROM kind WHERE NOT {_ARTIFACT.format('file')} UNION ALL SELECT id, file, line, t FROM p), {_hits('given')}
+SELECT file, CAST(line_num AS INT) AS line, rule_id, severity, 'regex' AS analyzer, {_SNIP.format('t')} AS snippet FROM hits WHERE NOT (family = 'language' AND id IN (SELECT id FROM calls))
+UNION ALL SELECT file, CAST(line AS INT), rule_id, 'HIGH', 'python-ast', {_SNIP.format('t')} FROM calls
+UNION ALL SELECT DISTINCT file, 0, 'MAL-BIN-ARTIFACT-001', 'CRITICAL', 'filesystem', 'Executable artifact detected: ' || string_split(file, '/')[-1] FROM kind WHERE {_ARTIFACT.format('file')}"""
+
+
+@_add
+def ast_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of call that the syntax-tree checks tell apart, nested ones too; every seventh file can't be parsed."""
+    return pyast.syntax_findings(C.call_files(spark, sf_dir)).select("file", "line", "column", "rule_id", "severity", "confidence", "score")
+
+
+_SQL["ast_branches"] = f"""WITH {C.calls_sql()}, said(template, mark, rule_id, severity, confidence, score) AS (VALUES {', '.join(f"({i}, {_lit(m)}, '{r}', '{v}', {k}, {n})" for i, (_, found) in enumerate(C.CALLS) for m, r, v, k, n in found)})
+SELECT file, line, CAST(instr(t, mark) - 1 AS INT) AS "column", rule_id, severity, CAST(confidence AS DOUBLE) AS confidence, CAST(score AS DOUBLE) AS score FROM calls JOIN said USING (template) WHERE user_id % 7 <> 0"""
+
+
+@_add
+def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests, one a file, as JSON texts and back to fixtures."""
+    by = _labels(spark, sf_dir).groupBy("file").agg(F.sort_array(F.collect_set("rule_id")).alias("expected_rule_ids"))
+    text = F.to_json(F.struct(F.array(F.struct("file", "expected_rule_ids", F.size("expected_rule_ids").alias("expected_count"))).alias("fixtures"), F.lit("x").alias("more")))
+    return by.select(F.inline(tree.manifest(text))).withColumn("expected_rule_ids", F.array_join("expected_rule_ids", " "))
+
+
+_SQL["manifest_rows"] = f"WITH RECURSIVE {C.corpus_sql()}, labels(template, rule_id) AS (VALUES " + ", ".join(f"({i}, '{r}')" for i, (ids, _) in enumerate(C.TEMPLATES) for r in ids if i != 4) + """, (28, 'GO-MEM-001'))
+SELECT file, string_agg(rule_id, ' ' ORDER BY rule_id) AS expected_rule_ids, count(*) AS expected_count FROM (SELECT DISTINCT file, rule_id FROM corpus JOIN labels USING (template)) GROUP BY file"""
+
+
+@_add
+def event_pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a CI run as JSON: those about a pull request, and others."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    text = F.format_string('{"repository": {"full_name": "o%s/r"}, "action": [1, {}]%s}', "user_id", F.when(F.col("event_id") % 3 == 0, F.format_string(', "pull_request": {"number": %s, "x": null}', "event_id")).when(F.col("event_id") % 3 == 1, ', "pull_request": null').otherwise(""))
+    at = tree.pull_request(text)
+    return e.select("event_id", at["repository"].alias("repository"), at["number"].alias("number"))
+
+
+_SQL["event_pull_requests"] = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'o' || user_id || '/r' END AS repository, CAST(CASE WHEN event_id % 3 = 0 THEN event_id END AS INT) AS number FROM events"
+
+
 @_add
 def chunk_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.select_chunks(_joined(spark, sf_dir), 1500)

@@ -95,3 +95,42 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_num", F.concat(hunk, sign, "text").alias("t")))), lambda x: x.t), "\n")
     head = F.format_string("diff --git a/%s b/%s\n--- a/%s\n+++ b/%s\n@@ -10,3 +11,9 @@\n", "file", "file", "file", "file")
     return c.groupBy("file").agg(body.alias("body")).select(F.col("file").alias("diff_id"), F.concat(head, "body").alias("content"))
+
+
+#: (line of Python, what its calls are: a mark that begins the call, rule, severity, confidence, score). {i} is the event's id.
+CALLS: tuple[tuple[str, tuple[tuple[str, str, str, float, float], ...]], ...] = (
+    ("eval('1 + {i}')", (("eval(", "PY-DYN-001", "MEDIUM", 0.8, 5.0),)),
+    ("value{i} = exec(code)", (("exec(", "PY-DYN-001", "HIGH", 0.99, 9.0),)),
+    ("x{i} = builtins.eval(text)", (("builtins.", "PY-DYN-001", "HIGH", 0.99, 9.0),)),
+    ("__builtin__.exec('pass  # {i}')", (("__builtin__.", "PY-DYN-001", "MEDIUM", 0.8, 5.0),)),
+    ("eval()  # {i}", (("eval(", "PY-DYN-001", "HIGH", 0.99, 9.0),)),
+    ("y{i} = ast.literal_eval(text)", ()),
+    ("model{i}.eval(text)", ()),
+    ("eval(eval('{i}'))", (("eval(eval", "PY-DYN-001", "HIGH", 0.99, 9.0), ("eval('", "PY-DYN-001", "MEDIUM", 0.8, 5.0))),
+    ("self.runner{i}.run(command, shell=True)", (("self.", "PY-CMD-001", "HIGH", 0.99, 9.5),)),
+    ("subprocess.anything(c{i}, shell=True)", (("subprocess.", "PY-CMD-001", "HIGH", 0.99, 9.5),)),
+    ("subprocess.run(c{i}, shell=False)", ()),
+    ("subprocess.run(c{i}, shell=flag)", ()),
+    ("check_output(c{i}, shell=True)", ()),
+    ("with open('{i}') as f: item = pickle.load(f)", (("pickle.", "PY-DESERIAL-001", "HIGH", 0.99, 9.8),)),
+    ("item{i} = dill.loads(data)", ()),
+    ("note{i} = 'eval(x) and pickle.loads(y)'", ()),
+)
+
+
+def call_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files (file, content) of the lines of CALLS, one an event; every seventh user's ends in a line that can't be parsed."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    line = F.replace(F.element_at(F.array(*[F.lit(t) for t, _ in CALLS]), F.pmod("event_id", F.lit(len(CALLS))).cast("int") + 1), F.lit("{i}"), F.col("event_id").cast("string"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("t")))), lambda x: x.t), "\n")
+    by = e.groupBy("user_id").agg(body.alias("content"))
+    return by.select(F.format_string("src/u%s.py", "user_id").alias("file"), F.when(F.col("user_id") % 7 == 0, F.concat("content", F.lit("\ndef broken("))).otherwise(F.col("content")).alias("content"))
+
+
+def calls_sql() -> str:
+    texts = "[" + ", ".join(_literal(t) for t, _ in CALLS) + "]"
+    return f"""calls AS (
+  SELECT user_id, 'src/u' || user_id || '.py' AS file, CAST(event_id % {len(CALLS)} AS INT) AS template, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS line,
+         replace(({texts})[CAST(event_id % {len(CALLS)} AS INT) + 1], '{{i}}', CAST(event_id AS VARCHAR)) AS t
+  FROM events
+)"""

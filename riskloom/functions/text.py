@@ -21,11 +21,15 @@ def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+$", "")
 
 
+def line_array(text: Column) -> Column:
+    """The lines of a text. One that ends a line doesn't begin another; an empty text has none."""
+    parts = F.split(text, LINE_END)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def lines(df: DataFrame, text: str, *keep: str, first: int = 1) -> DataFrame:
-    """A row for each line of `text`: the columns in keep, line_num, line. A text that ends a line doesn't begin another; an empty text has none."""
-    parts = F.split(F.col(text), LINE_END)
-    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    out = df.select(*keep, F.posexplode(whole).alias("line_num", "line"))
+    """A row for each line of `text`: the columns in keep, line_num, line."""
+    out = df.select(*keep, F.posexplode(line_array(F.col(text))).alias("line_num", "line"))
     return out.withColumn("line_num", F.col("line_num") + F.lit(first))
 
 

@@ -1,7 +1,8 @@
 """Unified diffs: which file and line each added line belongs to.
 
-State that runs along a diff is kept by windows over its lines. The file is the last one a header named; a line's number is counted
-within its segment, which a hunk header or a file header begins.
+The file is the last one that a header named; a line's number is counted within its segment, which a hunk header or a file header begins.
+So a diff is cut at file headers, each part at hunk headers, and lines are numbered within an array: no row needs another one, and nothing is
+shuffled. `positions` says the same of every line, by windows over the lines of a diff.
 """
 
 from __future__ import annotations
@@ -10,7 +11,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import lines, lstrip_set, strip
+from ..functions.text import LINE_END, line_array, lines, lstrip_set, strip
+
+_END = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+_GAP, _WORD = rf"(?U:[\s&&[^{_END}]])", rf"(?U:[^\s{_END}])"
+#: Lines that name a file: of a git header that has four words and more the fourth, of the other the rest.
+_FILE = rf"diff --git {_GAP}*{_WORD}+{_GAP}+{_WORD}|\+\+\+ "
+#: Hunk headers with a number after the first plus that a digit follows.
+_HUNK = rf"@@ (?:(?!\+\d)[^{_END}])*+\+\d{{1,9}}(?!\d)"
+
+
+def _cut(text: Column, at: str) -> Column:
+    """A text at the line ends that a line beginning with `at` follows."""
+    return F.split(text, rf"(?:{LINE_END})(?={at})")
+
+
+def file_parts(diffs: DataFrame, key: str = "diff_id", text: str = "content", strict_paths: bool = False) -> DataFrame:
+    """key, path, file (cleaned path), named (whether a header begins it), part, for each part of a diff on one file."""
+    parts = diffs.select(key, F.explode(_cut(F.col(text), _FILE)).alias("part"))
+    head = F.element_at(F.split("part", LINE_END, 2), 1)
+    git = F.get(F.split(strip(head), r"(?U)\s+"), F.lit(3))
+    named = F.col("part").rlike(rf"\A(?:{_FILE})")
+    path = F.when(named, F.when(head.startswith("+++ "), strip(F.substring(head, 5, 1 << 30))).otherwise(git)).otherwise(F.lit(""))
+    return parts.select(key, path.alias("path"), _clean(path, strict_paths).alias("file"), named.alias("named"), "part")
+
+
+def added_array(part: Column, count_context: bool = False) -> Column:
+    """Of a part of a diff its added lines: an array of (line_num, line), the line without its plus."""
+    plus = lambda x: x.startswith("+") & ~x.startswith("+++")
+    counted = (lambda x: plus(x) | x.startswith(" ")) if count_context else plus
+
+    def of_segment(segment: Column) -> Column:
+        base = F.when(segment.rlike(rf"\A{_HUNK}"), F.regexp_extract(segment, r"\+(\d+)", 1).cast("int") - 1).otherwise(F.lit(0))
+        every = F.filter(line_array(segment), counted)
+        numbered = F.transform(every, lambda x, i: F.struct((base + i + 1).alias("line_num"), x.alias("line")))
+        return F.filter(numbered, lambda x: x["line"].startswith("+")) if count_context else numbered
+
+    found = F.flatten(F.transform(_cut(part, _HUNK), of_segment))
+    return F.transform(found, lambda x: F.struct(x["line_num"].alias("line_num"), F.substring(x["line"], 2, 1 << 30).alias("line")))
 
 
 def added_line_count(diffs: DataFrame, text: str = "content", *keys: str) -> DataFrame:

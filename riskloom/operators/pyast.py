@@ -6,12 +6,13 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from ..functions.schemas import FIELDS, FINDING
+from ..functions.schemas import FIELDS, SYNTAX
 from ..functions.text import snippet
-from .match import SYNTAX
+from .match import TREE
 from .rules import RULES
 
 #: Method names that start a process whatever they are called on, and modules whose attributes are the built-in functions.
@@ -66,27 +67,28 @@ def analyze(source: str) -> list[dict]:
             out.append({
                 "line": node.lineno, "column": node.col_offset, "end_line": node.end_lineno if ends else None, "end_column": node.end_col_offset if ends else None,
                 "rule_id": rule_id, "title": r.title, "description": said, "severity": severity, "confidence": confidence, "category": r.category,
-                "snippet": rows[node.lineno - 1].strip() if node.lineno <= len(rows) else "", "language": "python", "remediation": r.remediation, "cwe": r.cwe, "score": score, "seq": [SYNTAX, len(out), 0],
+                "snippet": rows[node.lineno - 1].strip() if node.lineno <= len(rows) else "", "remediation": r.remediation, "cwe": r.cwe, "score": score, "seq": [TREE, len(out), 0],
             })
     return out
 
 
-def syntax_findings(files: DataFrame) -> DataFrame:
-    """Findings of the Python files among files (file, content). Snippets are masked and cut like all others."""
+def is_python(path: Column) -> Column:
+    return F.lower(path).rlike(r"\.pyw?$")
+
+
+def syntax_calls(source: Column) -> Column:
+    """The findings of each source, an empty array for null."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
+    def run(sources: pa.Array) -> pa.Array:
+        from pyspark.sql.pandas.types import to_arrow_type
 
-        to = to_arrow_schema(struct)
-        for b in batches:
-            rows = []
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for x in analyze(content or ""):
-                    rows.append(dict.fromkeys(FIELDS) | {"file": path, "evidence": "", "analyzer": "python-ast", "metadata": {}} | x)
-            yield pa.RecordBatch.from_pylist(rows, schema=to)
+        return pa.array([[] if x is None else analyze(x) for x in sources.to_pylist()], to_arrow_type(kind))
 
-    from pyspark.sql.types import StructType
+    kind = ArrayType(StructType.fromDDL(SYNTAX))
+    return F.arrow_udf(run, kind)(source)
 
-    struct = StructType.fromDDL(FINDING)
-    python = files.where(F.lower("file").rlike(r"\.pyw?$")).select("file", "content")
-    return python.mapInArrow(run, FINDING).withColumn("snippet", snippet(F.col("snippet")))
+
+def syntax_findings(files: DataFrame) -> DataFrame:
+    """Findings of the Python files among files (file, content). Snippets are masked and cut like all others."""
+    found = files.where(is_python(F.col("file"))).select("file", F.explode(syntax_calls(F.col("content"))).alias("f")).select("file", "f.*")
+    return found.withColumns({"snippet": snippet(F.col("snippet")), "evidence": F.lit(""), "language": F.lit("python"), "analyzer": F.lit("python-ast"), "cvss_vector": F.lit(None).cast("string"), "cvss_score": F.lit(None).cast("double"), "metadata": F.create_map().cast("map<string,string>")}).select(*FIELDS)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterable, Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +55,11 @@ def counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "HIGH").alias("high"))
 
 
-def gate(rows: DataFrame, least: str | None) -> DataFrame:
-    """fail: whether a finding is at least as severe as `least`. Without one, or without findings, none is."""
+def gate(rows: DataFrame, least: str | None, *keys: str) -> DataFrame:
+    """fail: whether a finding (of each of keys) is at least as severe as `least`. Without one, or without findings, none is."""
     rank = X.severity_rank(F.lit(least or ""), unknown=3)
     hit = X.severity_rank(F.col("severity")) >= rank
-    return rows.agg(F.coalesce(F.bool_or(hit & F.lit(bool(least))), F.lit(False)).alias("fail"))
+    return rows.groupBy(*keys).agg(F.coalesce(F.bool_or(hit & F.lit(bool(least))), F.lit(False)).alias("fail"))
 
 
 def ci_outputs(rows: DataFrame, sarif: str = "", html: str = "") -> DataFrame:
@@ -73,17 +75,31 @@ def write_ci_outputs(outputs: DataFrame, path: str | None = None) -> None:
             f.writelines(f"{r['name']}={r['value']}\n" for r in outputs.collect())
 
 
+# The texts of the Markdown table and its status lines, which readers and other tools look for.
+
+
 def markdown_rows(rows: DataFrame, *keys: str) -> DataFrame:
     """A table row for each finding; only CRITICAL has a label of its own."""
     label = F.when(F.col("severity") == "CRITICAL", "🔴 `CRITICAL`").otherwise("🟠 `HIGH`")
     return rows.select(*keys, F.format_string("| %s | %s | `%s` | **%s** | %s | `%s` |", label, "type", "rule_id", "score", "confidence", "snippet").alias("row"))
 
 
-def markdown(rows: list[str], lines_scanned: int = 0, ms: float = 0.0) -> str:
-    head = f"⚡ **Scan Metrics:** Scanned `{lines_scanned}` lines in `{ms:.2f}ms` | Findings: `{len(rows)}`\n\n"
-    if not rows:
+def markdown(rows: Iterable[str], lines_scanned: int = 0, ms: float = 0.0, total: int | None = None) -> str:
+    """The table of rows; of `total` findings these may be the first ones, which it says then."""
+    rows = list(rows)
+    total = len(rows) if total is None else total
+    head = f"⚡ **Scan Metrics:** Scanned `{lines_scanned}` lines in `{ms:.2f}ms` | Findings: `{total}`\n\n"
+    if not total:
         return head + "✅ **Security Status:** No vulnerabilities or secret leaks detected."
-    return head + "\n".join(["| Severity | Vulnerability Type | Rule ID | Score | Confidence | Code Snippet |", "| :--- | :--- | :---: | :---: | :---: | :--- |", *rows]) + "\n"
+    more = [f"\n{total - len(rows)} more findings are in the tables beside this page."] if total > len(rows) else []
+    return head + "\n".join(["| Severity | Vulnerability Type | Rule ID | Score | Confidence | Code Snippet |", "| :--- | :--- | :---: | :---: | :---: | :--- |", *rows, *more]) + "\n"
+
+
+def comment_body(summary: str, has_issues: bool, sections: tuple[str, ...] = (), name: str = "riskloom") -> str:
+    """What a comment on a pull request says: a status, the summary table, and more sections."""
+    status = "ISSUES FOUND" if has_issues else "PASSED"
+    parts = [f"**{status}**", f"### Security report of {name} {VERSION}", "#### 📊 Security Summary\n" + summary, *sections]
+    return "\n\n".join(parts) + f"\n\n---\n*Made by {name}*"
 
 
 def html_rows(rows: DataFrame, *keys: str) -> DataFrame:
@@ -116,36 +132,129 @@ def sarif_rules() -> list[dict]:
     return [{"id": r.rule_id, "name": r.title, "shortDescription": {"text": r.title}, "fullDescription": {"text": r.description}, "help": {"text": text(r)}, "properties": {"category": r.category, "cwe": r.cwe or "", "security-severity": str(r.score)}} for r in RULES]
 
 
-def sarif(results: DataFrame) -> str:
-    """A SARIF 2.1.0 document. Results are made into JSON on the executors."""
+def sarif_json(results: DataFrame, *keys: str) -> DataFrame:
+    """The results as JSON texts, made on the executors."""
     place = F.struct(F.struct(F.struct(F.col("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation"))
-    made = results.select(F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))).alias("j"))
-    body = [json.loads(r["j"]) for r in made.toLocalIterator()]
-    run = {"tool": {"driver": {"name": "riskloom", "version": VERSION, "rules": sarif_rules()}}, "results": body}
-    return json.dumps({"$schema": "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2)
+    whole = F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))
+    return results.select(*keys, F.to_json(whole).alias("json"))
+
+
+def _sarif_frame() -> tuple[str, str]:
+    """What stands before and after the results of a SARIF 2.1.0 document."""
+    driver = {"name": "riskloom", "version": VERSION, "rules": sarif_rules()}
+    frame = {"$schema": "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": ["HERE"]}]}
+    before, after = json.dumps(frame, indent=2).split('"HERE"')
+    return before, after
+
+
+def sarif(results: DataFrame) -> str:
+    """One document with all results, for few of them."""
+    return "".join(_document(*_sarif_frame(), (r["json"] for r in sarif_json(results).toLocalIterator())))
+
+
+def sarif_documents(findings: DataFrame, most: int = 5000) -> DataFrame:
+    """part, number, document: SARIF documents of at most `most` results each, made by the tasks that hold them. `write.text` stores them."""
+    before, after = (F.lit(x) for x in _sarif_frame())
+    placed = sarif_json(sarif_results(findings)).withColumn("id", F.monotonically_increasing_id())
+    part, number = F.shiftright("id", 33).alias("part"), F.floor(F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) / most).alias("number")
+    by = placed.groupBy(part, number).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "json"))), lambda x: x["json"]), ",\n").alias("body"))
+    return by.select("part", "number", F.concat(before, "body", after).alias("document"))
+
+
+def json_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def to_json_array(rows: DataFrame) -> str:
-    """All rows as one JSON array. For many rows, rows.write.json is the sink."""
-    kept = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("j"))
-    return json.dumps([json.loads(r["j"]) for r in kept.toLocalIterator()], indent=2)
+    """All rows as one JSON array, for few of them. For many, json_rows(rows).write.text is the sink."""
+    return "".join(_document("[\n", "\n]", (r["json"] for r in json_rows(rows).toLocalIterator())))
+
+
+def _document(before: str, after: str, items: Iterator[str]) -> Iterator[str]:
+    """A JSON document in pieces, one item after the other."""
+    yield before
+    for i, x in enumerate(items):
+        yield x if i == 0 else ",\n" + x
+    yield after
+
+
+# The colours and the two states of the badge.
+_BADGE = {True: ("#e05d44", "issues found"), False: ("#4c1", "passed")}
 
 
 def badge(has_issues: bool) -> str:
-    colour, said = ("#e05d44", "issues found") if has_issues else ("#4c1", "passed")
+    colour, said = _BADGE[has_issues]
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="140" height="20"><rect width="90" height="20" fill="#555"/><rect x="90" width="50" height="20" fill="{colour}"/><g fill="#fff" text-anchor="middle" font-family="Verdana,sans-serif" font-size="11"><text x="45" y="14">security audit</text><text x="115" y="14">{said}</text></g></svg>'
 
 
-def write_reports(findings: DataFrame, folder: str, lines_scanned: int = 0, ms: float = 0.0, even_if_clean: bool = False) -> dict[str, str]:
+def _write(path: str, pieces: Iterable[str]) -> str:
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(pieces)
+    return path
+
+
+#: Rows that the two pages for people show.
+SHOWN = 10_000
+REPORTS = ("badge", "markdown", "html", "sarif", "json")
+NAMES = {"badge": "badge.svg", "markdown": "summary.md", "html": "report.html", "sarif": "results.sarif", "json": "findings.json"}
+
+
+class Reports:
+    """The reports on findings, whose scan runs once: they are kept on the executors' disks until `close`.
+
+    Pages for people show the first `shown` rows in order of place, and say how many more there are. SARIF and JSON documents hold all, and are
+    written one finding after the other, so the driver holds one partition of them at most.
+    """
+
+    def __init__(self, findings: DataFrame, lines_scanned: int = 0, ms: float = 0.0, shown: int = SHOWN):
+        self.findings = findings.persist(StorageLevel.DISK_ONLY)
+        self.lines, self.ms, self.shown = lines_scanned, ms, shown
+        n = counts(self.findings).first()
+        self.total, self.critical, self.high = n["total"], n["critical"], n["high"]
+        self.rows = finding_rows(self.findings, "seq")
+
+    def _first(self) -> DataFrame:
+        return self.rows.orderBy("file", "seq", "rule_id").limit(self.shown)
+
+    def markdown(self) -> str:
+        return markdown((r["row"] for r in markdown_rows(self._first()).collect()), self.lines, self.ms, self.total)
+
+    def write(self, kind: str, path: str) -> str:
+        if kind == "badge":
+            return _write(path, [badge(self.total > 0)])
+        if kind == "markdown":
+            return _write(path, [self.markdown()])
+        if kind == "html":
+            rows = [r["row"] for r in html_rows(self._first()).collect()]
+            return _write(path, [html(rows, self.total, self.critical, self.high, self.lines, self.ms)])
+        ordered = self.findings.orderBy("file", "seq", "rule_id")
+        if kind == "sarif":
+            before, after = _sarif_frame()
+            items = sarif_json(sarif_results(ordered))
+        else:
+            before, after = "[\n", "\n]"
+            items = json_rows(finding_rows(ordered))
+        return _write(path, _document(before, after, (r["json"] for r in items.toLocalIterator())))
+
+    def fails(self, least: str | None) -> bool:
+        return gate(self.rows, least).first()["fail"]
+
+    def close(self) -> None:
+        self.findings.unpersist()
+
+
+def write_reports(findings: DataFrame, folder: str, lines_scanned: int = 0, ms: float = 0.0, even_if_clean: bool = False, shown: int = SHOWN) -> dict[str, str]:
     """Badge, Markdown and HTML always; SARIF and JSON if there are findings, or even_if_clean. Returns what was written where."""
-    rows = finding_rows(findings, "seq").orderBy("file", "seq", "rule_id")
-    n = counts(rows).first()
-    made = {"badge.svg": badge(n["total"] > 0), "summary.md": markdown([r["row"] for r in markdown_rows(rows).collect()], lines_scanned, ms)}
-    made["report.html"] = html([r["row"] for r in html_rows(rows).collect()], n["total"], n["critical"], n["high"], lines_scanned, ms)
-    if n["total"] or even_if_clean:
-        made |= {"results.sarif": sarif(sarif_results(findings)), "findings.json": to_json_array(rows.drop("seq"))}
-    os.makedirs(folder, exist_ok=True)
-    for name, text in made.items():
-        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-            f.write(text)
-    return {name: os.path.join(folder, name) for name in made}
+    made = Reports(findings, lines_scanned, ms, shown)
+    try:
+        kinds = [k for k in REPORTS if made.total or even_if_clean or k not in ("sarif", "json")]
+        return {NAMES[k]: made.write(k, os.path.join(folder, NAMES[k])) for k in kinds}
+    finally:
+        made.close()
+
+
+def write_tables(findings: DataFrame, folder: str) -> None:
+    """For many findings: JSON lines and SARIF documents, written by the executors to any file system."""
+    json_rows(finding_rows(findings)).write.text(f"{folder}/findings")
+    sarif_documents(findings).select("document").write.text(f"{folder}/sarif", lineSep="\n\n")

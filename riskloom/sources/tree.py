@@ -1,17 +1,21 @@
 """A tree of source files as a data source.
 
 Spark's own file sources leave out names that begin with a dot or an underscore, which a scan must read. Folders are pruned and paths
-ignored while partitions are planned, so what isn't scanned isn't opened. Options: path, ignore (globs, comma-separated), batch (files
-of a partition).
+ignored before they are opened. Planning lists folders only until there are enough of them; each of the others is a partition, listed by the
+task that reads it. Options: path, ignore (globs, a JSON list), folders (how many are enough), batch (files of a partition, among those that
+planning met).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -20,21 +24,51 @@ from ..operators.paths import ARTIFACTS, PRUNED, ignore_pattern
 SCHEMA = "file string, name string, is_artifact boolean, content string"
 
 
-def ignored(path: str, pattern: re.Pattern) -> bool:
-    return bool(pattern.search(re.sub("^b/", "", path.replace("\\", "/").strip())))
+class Found(NamedTuple):
+    """A file: its path below the root, and where it is."""
 
+    path: str
+    full: str
 
-def walk(root: str, globs: list[str]) -> Iterator[tuple[str, str]]:
-    """(relative path, full path) of the files that are scanned, in the order of their paths. A root that doesn't exist has none."""
-    pattern = re.compile(ignore_pattern(globs).replace("(?iu)", ""), re.IGNORECASE)
-    if os.path.isfile(root):
-        found = [(os.path.basename(root), root)]
-    else:
-        found = []
-        for folder, names, files in os.walk(root):
-            names[:] = [n for n in names if n not in PRUNED and not ignored(n, pattern)]
-            found += [(os.path.relpath(os.path.join(folder, f), root).replace(os.sep, "/"), os.path.join(folder, f)) for f in files]
-    yield from sorted(x for x in found if not ignored(x[0], pattern))
+
+class Tree:
+    """What of a folder (or a file) is scanned. A root that doesn't exist has nothing."""
+
+    def __init__(self, root: str, globs: list[str]):
+        self.root = root
+        self.pattern = re.compile(ignore_pattern(globs).replace("(?iu)", ""), re.IGNORECASE)
+
+    def ignored(self, path: str) -> bool:
+        return bool(self.pattern.search(re.sub("^b/", "", path.replace("\\", "/").strip())))
+
+    def level(self, folder: str) -> tuple[list[Found], list[str]]:
+        """A folder's own files, and its folders."""
+        try:
+            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+        except OSError:
+            return [], []
+        files = [Found(os.path.relpath(e.path, self.root).replace(os.sep, "/"), e.path) for e in entries if not e.is_dir()]
+        inner = [e.path for e in entries if e.is_dir() and not e.is_symlink() and e.name not in PRUNED and not self.ignored(e.name)]
+        return [f for f in files if not self.ignored(f.path)], inner
+
+    def below(self, folder: str) -> Iterator[Found]:
+        todo = [folder]
+        while todo:
+            files, inner = self.level(todo.pop())
+            yield from files
+            todo += reversed(inner)
+
+    def planned(self, enough: int) -> tuple[list[Found], list[str]]:
+        """Files met on the way to `enough` folders, and those folders."""
+        if os.path.isfile(self.root):
+            name = os.path.basename(self.root)
+            return [] if self.ignored(name) else [Found(name, self.root)], []
+        met, folders = [], [self.root]
+        while folders and len(folders) < enough:
+            levels = [self.level(f) for f in folders]
+            met += [x for files, _ in levels for x in files]
+            folders = [x for _, inner in levels for x in inner]
+        return met, folders
 
 
 def decode(data: bytes) -> str:
@@ -42,22 +76,23 @@ def decode(data: bytes) -> str:
     return data.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
 
 
-class _Files(InputPartition):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+class _Part(InputPartition):
+    def __init__(self, files: list[Found], folder: str | None = None):
+        self.files, self.folder = files, folder
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.batch = options["path"], int(options.get("batch", 500))
-        self.globs = [g for g in options.get("ignore", "").split(",") if g]
+        self.tree = Tree(options["path"], json.loads(options.get("ignore", "[]")))
+        self.batch, self.enough = int(options.get("batch", 500)), int(options.get("folders", 64))
 
     def partitions(self) -> list[InputPartition]:
-        files = list(walk(self.root, self.globs))
-        return [_Files(files[i : i + self.batch]) for i in range(0, len(files), self.batch)] or [_Files([])]
+        files, folders = self.tree.planned(self.enough)
+        loose = [_Part(files[i : i + self.batch]) for i in range(0, len(files), self.batch)]
+        return loose + [_Part([], f) for f in folders] or [_Part([])]
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for path, full in partition.files:
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        for path, full in self.tree.below(partition.folder) if partition.folder else partition.files:
             name = os.path.basename(full)
             if name.lower().endswith(ARTIFACTS):
                 yield (path, name, True, None)
@@ -82,22 +117,27 @@ class TreeSource(DataSource):
         return _Reader(self.options)
 
 
-def read_tree(spark: SparkSession, path: str, ignore: list[str] | tuple[str, ...] = (), batch: int = 500) -> DataFrame:
+def read_tree(spark: SparkSession, path: str, ignore: list[str] | tuple[str, ...] = (), batch: int = 500, folders: int = 64) -> DataFrame:
     spark.dataSource.register(TreeSource)
-    return spark.read.format("source_tree").options(path=path, ignore=",".join(ignore), batch=batch).load()
+    return spark.read.format("source_tree").options(path=path, ignore=json.dumps(list(ignore)), batch=batch, folders=folders).load()
+
+
+def manifest(text: Column) -> Column:
+    """The fixtures of a manifest's JSON: an array of (file, expected_rule_ids, expected_count)."""
+    return F.from_json(text, "fixtures array<struct<file: string, expected_rule_ids: array<string>, expected_count: bigint>>").getField("fixtures")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """file, expected_rule_ids of each fixture of a manifest."""
-    from pyspark.sql import functions as F
+    """file, expected_rule_ids, expected_count of each fixture of a manifest."""
+    return spark.read.text(path, wholetext=True).select(F.inline(manifest(F.col("value"))))
+
 
-    kind = "fixtures array<struct<file string, expected_rule_ids array<string>, expected_count bigint>>"
-    return spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("fixtures").alias("f")).select("f.*")
+def pull_request(payload: Column) -> Column:
+    """(repository, number) of the pull request that an event's JSON is about; null for other events."""
+    event = F.from_json(payload, "repository struct<full_name: string>, pull_request struct<number: int>")
+    return F.when(event.pull_request.number.isNotNull(), F.struct(event.repository.full_name.alias("repository"), event.pull_request.number.alias("number")))
 
 
 def read_event(spark: SparkSession, path: str) -> tuple[str, int] | None:
-    """(repository, number) of the pull request that an event is about; None for other events."""
-    row = spark.read.schema("repository struct<full_name: string>, pull_request struct<number: int>").option("multiLine", True).json(path).first()
-    if row is None or row["pull_request"] is None or row["pull_request"]["number"] is None:
-        return None
-    return row["repository"]["full_name"], row["pull_request"]["number"]
+    row = spark.read.text(path, wholetext=True).select(pull_request(F.col("value")).alias("p")).first()
+    return (row["p"]["repository"], row["p"]["number"]) if row and row["p"] else None

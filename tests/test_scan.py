@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from riskloom import corpus
 from riskloom.operators import match, paths, pyast
 from riskloom.operators.dedup import dedup_findings
-from riskloom.operators.diff import added_line_count, positions
+from riskloom.operators.diff import added_array, added_line_count, file_parts, positions
 from riskloom.operators.rules import RULES, by_family, java_pattern
 from riskloom.plans import evaluate, report, scan
 from riskloom.sources.tree import read_tree
@@ -86,6 +86,32 @@ def test_diff_positions_equal_an_automaton(spark):
     assert all(counts.get(i, 0) == sum(x.startswith("+") and not x.startswith("+++") for x in t.splitlines()) for i, t in enumerate(texts))
 
 
+@pytest.mark.parametrize("context", [False, True])
+def test_added_lines_equal_those_of_the_windows(spark, context):
+    rng = random.Random(6)
+    parts = ["diff --git a/x b/bin/x.py", "diff --git  a/x \tb/y z", "diff --git a/x", "+++ b/y.go", "+++ ", "@@ -1,2 +7,3 @@", "@@ none @@", "@@ + +5 @@ +6", "@@ -0,0 +0,0 @@", "+a", "+", "++ b", " c", "-d", "+++", "--- a/x", "", "+x +++ b/q"]
+    texts = [rng.choice(["\n", "\r\n", "\r", "\x0c", "\u2028"]).join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "diff_id int, content string")
+    want = sorted((r["diff_id"], r["path"], r["file"], r["line_num"], r["raw"][1:]) for r in positions(df, count_context=context).where("is_added").collect())
+    got = file_parts(df).select("diff_id", "path", "file", F.inline(added_array(F.col("part"), context)))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    if not context:
+        mine = {}
+        for i, _, f, n, t in sorted(want):
+            mine.setdefault(i, []).append((f, n, t))
+        assert all(sorted(automaton(t)) == sorted(mine.get(i, [])) for i, t in enumerate(texts))
+
+
+def test_a_scan_reads_once_and_shuffles_findings_only(spark, tmp_path):
+    spark.createDataFrame([("a.py", "x = eval(y)"), ("b.exe", ""), ("c.js", "password = 'abcdef'")], "file string, content string").write.parquet(str(tmp_path / "in"))
+    plan = scan.scan_files(spark.read.parquet(str(tmp_path / "in")))[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("(?s)^((?:[^'") <= 2
+    spark.createDataFrame([(1, "+++ b/x\n+eval(y)")], "diff_id int, content string").write.parquet(str(tmp_path / "d"))
+    plan = scan.scan_diffs(spark.read.parquet(str(tmp_path / "d")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_diff_findings(spark):
     text = "diff --git a/t.exe b/t.exe\nnew file mode\n--- /dev/null\n+++ b/t.exe\n+x = eval(y)\ndiff --git a/vendor/v.py b/vendor/v.py\n+++ b/vendor/v.py\n+eval(y)\n"
     got = scan.scan_diffs(spark.createDataFrame([(1, text), (2, "+password = 'secret1'"), (3, "")], "diff_id int, content string"))
@@ -131,6 +157,44 @@ def test_tree_scan(spark, tmp_path):
     assert "hunter22" in open(files["findings.json"]).read()  # shorter than what is masked
 
 
+def test_tree_source(spark, tmp_path):
+    """However few folders planning lists, and with a comma in a glob."""
+    for name in ("a.py", "x/b.py", "x/y/c.py", "x/y/z/d.py", "x/node_modules/e.py", "k,l/f.py", "k/g.py", "l/h.py", ".hidden/_i.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    names = ["a.py", "x/b.py", "x/y/c.py", "x/y/z/d.py", "k,l/f.py", "k/g.py", "l/h.py", ".hidden/_i.py"]
+    for folders in (1, 2, 4, 64):
+        for batch in (1, 500):
+            got = read_tree(spark, str(tmp_path), batch=batch, folders=folders)
+            assert sorted(r["file"] for r in got.collect()) == sorted(names)
+    got = read_tree(spark, str(tmp_path), ignore=["k,l/*"])
+    assert sorted(r["file"] for r in got.collect()) == sorted(set(names) - {"k,l/f.py"})
+
+
+def test_reports_of_many_findings(spark, tmp_path):
+    import json
+
+    rows = lines_of(spark, [f"password = 'secret{i}'" for i in range(300)] + ["gets(b)"])
+    found = match.findings(match.match_lines(rows))
+    made = report.write_reports(found, str(tmp_path / "out"), 301, shown=10)
+    assert len(json.load(open(made["findings.json"]))) == 301 and open(made["report.html"]).read().count("<tr class=") == 10
+    text = open(made["summary.md"]).read()
+    assert "Findings: `301`" in text and "291 more findings" in text and text.count("SEC-PASS-001") == 10
+    whole = json.load(open(made["results.sarif"]))
+    assert len(whole["runs"][0]["results"]) == 301 and whole == json.loads(report.sarif(report.sarif_results(found.orderBy("seq"))))
+    parts = [json.loads(r["document"]) for r in report.sarif_documents(found, 40).collect()]
+    lines = [x["locations"][0]["physicalLocation"]["region"]["startLine"] for p in parts for x in p["runs"][0]["results"]]
+    assert sorted(lines) == list(range(1, 302)) and all(0 < len(p["runs"][0]["results"]) <= 40 for p in parts)
+    report.write_tables(found, str(tmp_path / "tables"))
+    assert spark.read.json(str(tmp_path / "tables" / "findings")).count() == 301
+    documents = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "tables" / "sarif"), lineSep="\n\n").collect() if r["value"].strip()]
+    assert sum(len(d["runs"][0]["results"]) for d in documents) == 301
+    none = report.write_reports(found.limit(0), str(tmp_path / "clean"), even_if_clean=True)
+    assert json.load(open(none["findings.json"])) == [] and "No vulnerabilities" in open(none["summary.md"]).read()
+    body = report.comment_body("table", True)
+    assert "ISSUES FOUND" in body and "table" in body and "PASSED" in report.comment_body("", False)
+
+
 def fold(rows):
     kept = {}
     for r in rows:
