@@ -165,9 +165,17 @@ _SQL["strip_inline_comment"] = f"WITH RECURSIVE {C.corpus_sql()}, given AS (SELE
 
 @_add
 def strip_inline_comment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same on lines of prose, where a character-by-character oracle would take too long; tests hold the expression against one."""
-    at = X.lines(_documents(spark, sf_dir), "text", "doc_id")
-    return at.select("doc_id", "line_num", F.length(X.strip_inline_comment(F.col("line"))).alias("kept"))
+    """The same on lines of prose."""
+    at = X.lines(_documents(spark, sf_dir), "text", "doc_id").withColumn("code", X.strip_inline_comment(F.col("line")))
+    return at.select("doc_id", "line_num", F.length("code").alias("kept"), F.md5("code").alias("code_md5"))
+
+
+# Tokens in turn: an escape, a quoted run (to the line's end if it isn't closed), a comment sign, or a character.
+_TOKEN = r"""(?s)\\.|'(?:[^'\\]|\\.)*'?|"(?:[^"\\]|\\.)*"?|`(?:[^`\\]|\\.)*`?|#|//|--|."""
+_SQL["strip_inline_comment_documents"] = f"""WITH {_DOC_LINES}, tokens AS (SELECT doc_id, line_num, line, regexp_extract_all(line, {_lit(_TOKEN)}) AS t FROM doc_lines),
+cut AS (SELECT *, coalesce(list_position(list_transform(t, lambda x: x IN ('#', '//', '--')), true), 0) AS p FROM tokens),
+code AS (SELECT doc_id, CAST(line_num AS INT) AS line_num, CASE WHEN p > 0 THEN regexp_replace(array_to_string(t[:p - 1], ''), '\\s+$', '') ELSE line END AS code FROM cut)
+SELECT doc_id, line_num, CAST(length(code) AS INT) AS kept, md5(code) AS code_md5 FROM code"""
 
 
 @_add
