@@ -286,13 +286,8 @@ _GATES = ("INFO", "low", "MEDIUM", "HIGH", "CRITICAL", "other")
 
 @_add
 def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each file and each threshold whether the gate fails. What the scan found of a file is shuffled once, whatever the thresholds."""
-    by = _mixed_findings(spark, sf_dir).select("file", "severity").distinct()
-    out = None
-    for least in _GATES:
-        part = report.gate(by, least, "file").select("file", F.lit(least).alias("least"), "fail")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """For each file and each threshold whether the gate fails."""
+    return report.gates(_mixed_findings(spark, sf_dir), _GATES, "file")
 
 
 _SQL["severity_gate"] = _found() + f""", ranks(name, place) AS (VALUES ('INFO', 0), ('LOW', 1), ('MEDIUM', 2), ('HIGH', 3), ('CRITICAL', 4)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,14 @@ def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+$", "")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value made once however often f reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def line_array(text: Column) -> Column:
     """The lines of a text. One that ends a line doesn't begin another; an empty text has none."""
-    parts = F.split(text, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(text, LINE_END), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def lines(df: DataFrame, text: str, *keep: str, first: int = 1) -> DataFrame:
@@ -35,8 +41,7 @@ def lines(df: DataFrame, text: str, *keep: str, first: int = 1) -> DataFrame:
 
 def line_count(text: Column) -> Column:
     """Lines of a text, without exploding it."""
-    parts = F.split(text, LINE_END)
-    return F.size(parts) - (F.element_at(parts, -1) == "").cast("int")
+    return bound(F.split(text, LINE_END), lambda parts: F.size(parts) - (F.element_at(parts, -1) == "").cast("int"))
 
 
 def is_comment_line(c: Column) -> Column:

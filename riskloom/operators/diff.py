@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import LINE_END, line_array, lines, lstrip_set, strip
+from ..functions.text import LINE_END, bound, line_array, lines, lstrip_set, strip
 
 _END = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _GAP, _WORD = rf"(?U:[\s&&[^{_END}]])", rf"(?U:[^\s{_END}])"
@@ -37,18 +37,22 @@ def file_parts(diffs: DataFrame, key: str = "diff_id", text: str = "content", st
 
 
 def added_array(part: Column, count_context: bool = False) -> Column:
-    """Of a part of a diff its added lines: an array of (line_num, line), the line without its plus."""
+    """Of a part of a diff its added lines: an array of (line_num, line, added), the line without its plus."""
     plus = lambda x: x.startswith("+") & ~x.startswith("+++")
     counted = (lambda x: plus(x) | x.startswith(" ")) if count_context else plus
 
     def of_segment(segment: Column) -> Column:
         base = F.when(segment.rlike(rf"\A{_HUNK}"), F.regexp_extract(segment, r"\+(\d+)", 1).cast("int") - 1).otherwise(F.lit(0))
-        every = F.filter(line_array(segment), counted)
-        numbered = F.transform(every, lambda x, i: F.struct((base + i + 1).alias("line_num"), x.alias("line")))
-        return F.filter(numbered, lambda x: x["line"].startswith("+")) if count_context else numbered
 
-    found = F.flatten(F.transform(_cut(part, _HUNK), of_segment))
-    return F.transform(found, lambda x: F.struct(x["line_num"].alias("line_num"), F.substring(x["line"], 2, 1 << 30).alias("line")))
+        def numbered(start: Column) -> Column:
+            rest = lambda x: F.substring(x, 2, 1 << 30).alias("line")
+            return F.transform(F.filter(line_array(segment), counted), lambda x, i: F.struct((start + i + 1).alias("line_num"), rest(x), x.startswith("+").alias("added")))
+
+        # The start is read for every line, and made once.
+        made = bound(base, numbered)
+        return F.filter(made, lambda x: x["added"]) if count_context else made
+
+    return F.flatten(F.transform(_cut(part, _HUNK), of_segment))
 
 
 def added_line_count(diffs: DataFrame, text: str = "content", *keys: str) -> DataFrame:

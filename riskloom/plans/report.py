@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -55,11 +55,16 @@ def counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "HIGH").alias("high"))
 
 
+def gates(rows: DataFrame, leasts: Sequence[str | None], *keys: str) -> DataFrame:
+    """least, fail (of each of keys): whether a finding is at least as severe as each of `leasts`. Without a threshold, or findings, none is."""
+    worst = rows.groupBy(*keys).agg(F.max(X.severity_rank(F.col("severity"))).alias("worst"))
+    fails = lambda x: F.coalesce(F.col("worst") >= X.severity_rank(F.lit(x), unknown=3), F.lit(False)) if x else F.lit(False)
+    return worst.select(*keys, F.inline(F.array(*[F.struct(F.lit(x).cast("string").alias("least"), fails(x).alias("fail")) for x in leasts])))
+
+
 def gate(rows: DataFrame, least: str | None, *keys: str) -> DataFrame:
-    """fail: whether a finding (of each of keys) is at least as severe as `least`. Without one, or without findings, none is."""
-    rank = X.severity_rank(F.lit(least or ""), unknown=3)
-    hit = X.severity_rank(F.col("severity")) >= rank
-    return rows.groupBy(*keys).agg(F.coalesce(F.bool_or(hit & F.lit(bool(least))), F.lit(False)).alias("fail"))
+    """fail: whether a finding (of each of keys) is at least as severe as `least`."""
+    return gates(rows, [least], *keys).drop("least")
 
 
 def ci_outputs(rows: DataFrame, sarif: str = "", html: str = "") -> DataFrame:

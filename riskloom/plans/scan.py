@@ -21,6 +21,14 @@ from ..operators.rules import RULES, Rule
 from ..sources.tree import read_tree
 
 
+_PIECE = f"struct<line_num: int, line: string, rule_no: int, found: struct<{SYNTAX}>>"
+
+
+def _none() -> Column:
+    """No pieces."""
+    return F.array().cast(f"array<{_PIECE}>")
+
+
 def _piece(line_num: Column, line: Column, rule_no: Column | None = None, found: Column | None = None) -> Column:
     """A line's rules are those that it meets; a piece of another kind comes with its rule."""
     none = F.lit(None).cast(f"struct<{SYNTAX}>")
@@ -51,7 +59,7 @@ def scan_files(files: DataFrame, ignore: tuple[str, ...] | list[str] = (), rules
     lines = F.transform(line_array(F.col("content")), lambda x, i: _piece(i + 1, x))
     calls = F.transform("tree", lambda f: _piece(f["line"], F.lit(None).cast("string"), numbers[f["rule_id"]], f))
     name = F.array(_piece(F.lit(0), artifact_line(F.element_at(F.split("file", "/"), -1)), _artifact(rules)))
-    every = F.when(is_artifact(F.col("file")), name).otherwise(F.concat(calls, F.coalesce(lines, F.array().cast(f"array<struct<line_num:int,line:string,rule_no:int,found:struct<{SYNTAX}>>>"))))
+    every = F.when(is_artifact(F.col("file")), name).otherwise(F.concat(calls, F.coalesce(lines, _none())))
     pieces = parsed.select("file", F.transform("tree", lambda f: f["line"]).alias("covered"), F.explode(every).alias("p"))
     out = _findings(pieces, rules, F.array_contains("covered", F.col("line_num")))
     return dedup_findings(out), kept.select(text.alias("content")).agg(F.coalesce(F.sum(line_count(F.col("content"))), F.lit(0)).cast("bigint").alias("lines_scanned"))
@@ -67,7 +75,7 @@ def scan_diffs(diffs: DataFrame, ignore: tuple[str, ...] | list[str] = (), key:
     """Findings of diffs (key, text), each with its key. Only added lines are searched; a diff has no syntax tree."""
     parts = file_parts(diffs, key, text, strict_paths).where(~is_ignored(F.col("path"), ignore))
     lines = F.transform(added_array(F.col("part"), count_context), lambda x: _piece(F.greatest(x["line_num"], F.lit(0)), x["line"]))
-    name = F.when(F.col("named") & is_artifact(F.col("file")), F.array(_piece(F.lit(0), artifact_line(F.col("file")), _artifact(rules)))).otherwise(F.slice(lines, 1, 0))
+    name = F.when(F.col("named") & is_artifact(F.col("file")), F.array(_piece(F.lit(0), artifact_line(F.col("file")), _artifact(rules)))).otherwise(_none())
     # A struct carries the diff through: findings look only at the file.
     pieces = parts.select(F.struct(F.col(key), F.col("file")).alias("file"), F.explode(F.concat(name, lines)).alias("p"))
     out = _findings(pieces, rules).withColumn(key, F.col(f"file.{key}")).withColumn("file", F.col("file.file"))
