@@ -142,7 +142,19 @@ def fold(key: str, n: int) -> Column:
 
 def shuffled_order(key: str) -> Column:
     """A fixed order that has nothing to do with that of the keys."""
-    return F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")))
+
+
+def early(key: str, total: Column | int, most: int) -> Column:
+    """Whether a row is among the first of `total` in that order, so that about four times `most` rows are: a task then hands on few rows
+    that the exact choice after it leaves out, however many tasks there are."""
+    place = shuffled_order(key).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    return place * total < F.lit(4 * most + 20)
+
+
+def first_ids(rows: DataFrame, most: int) -> DataFrame:
+    """The first `most` doc_ids of rows in shuffled order, and the other columns."""
+    return rows.where(early("doc_id", rows.count(), most)).orderBy(shuffled_order("doc_id"), "doc_id").limit(most)
 
 
 #: Training texts: longer ones are represented by so many evenly spread passages of so many characters.
@@ -166,7 +178,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     picks = None
     for value, bound in bounds.items():
-        part = known.where(F.col("label") == value).orderBy(shuffled_order("doc_id"), "doc_id").limit(bound)
+        part = first_ids(known.where(F.col("label") == value), bound)
         picks = part if picks is None else picks.unionByName(part)
     met = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picks), "doc_id")
     return met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
@@ -231,31 +243,35 @@ def keep_rows(docs: DataFrame, keys: Column, drop: DataFrame, repeated: DataFram
 HOT_PARTS = 1000
 
 
-def join_hot(rows: DataFrame, values: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, values: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """rows joined to values (one row for each key, with how many rows have it in `count`).
 
     Values of hot keys are broadcast: fewer than HOT_PARTS rows, at any size. The other keys' rows meet in a sort-merge join, in
-    which no task gets more than a thousandth of all rows for one key.
+    which no task gets more than a thousandth of all rows for one key. Whether there are hot keys is asked first, which keeps plans small.
     """
-    names = [c for c in values.columns if c != key]
     hot = F.col(count) * HOT_PARTS > total
-    few = values.where(hot).select(key, F.struct(*names).alias("__rl_few"))
-    many = values.where(~hot).select(key, F.struct(*names).alias("__rl_many"))
-    tagged = rows.join(F.broadcast(few), key, "left")
-    cold = tagged.where(F.col("__rl_few").isNull()).drop("__rl_few").join(many.hint("merge"), key, how).withColumnRenamed("__rl_many", "__rl_got")
-    out = tagged.where(F.col("__rl_few").isNotNull()).withColumnRenamed("__rl_few", "__rl_got").unionByName(cold)
-    return out.select(*rows.columns, "__rl_got.*")
-
-
-def join_spread(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
-    """rows joined to values, which have one row for each key of rows. Values of keys that are hot in rows (counted here) are broadcast."""
-    total = rows.count()
-    hot = rows.groupBy(key).count().where(F.col("count") * HOT_PARTS > total).select(key)
-    few = F.broadcast(values.join(F.broadcast(hot), key).select(key, F.struct(*[c for c in values.columns if c != key]).alias("__rl_few")))
-    tagged = rows.join(few, key, "left")
-    cold = tagged.where(F.col("__rl_few").isNull()).drop("__rl_few").join(values.hint("merge"), key)
-    warm = tagged.where(F.col("__rl_few").isNotNull()).select(*rows.columns, "__rl_few.*")
-    return warm.unionByName(cold)
+    return _join(rows, values, key, values.where(hot) if not values.where(hot).isEmpty() else None, values.where(~hot))
+
+
+def join_spread(rows: DataFrame, values: DataFrame, key: str, like: DataFrame | None = None) -> DataFrame:
+    """The same for values that don't say how many rows have a key, and have one row for each key of rows; fewer than HOT_PARTS keys reach the driver.
+
+    Keys are counted in `like`, a stored table with as many of each, if rows are not stored.
+    """
+    like = rows if like is None else like
+    counts = like.groupBy(key).count().where(F.col("count") * HOT_PARTS > like.count())
+    hot = [r[key] for r in counts.select(key).collect()]
+    return _join(rows, values, key, values.where(F.col(key).isin(hot)) if hot else None, values)
+
+
+def _join(rows: DataFrame, values: DataFrame, key: str, few: DataFrame | None, many: DataFrame) -> DataFrame:
+    """few: the values of hot keys; many: those of the others at least."""
+    names = [c for c in values.columns if c != key]
+    if few is None:
+        return rows.join(values.hint("merge"), key).select(*rows.columns, *names)
+    tagged = rows.join(F.broadcast(few.select(key, F.struct(*names).alias("__rl_few"))), key, "left")
+    cold = tagged.where(F.col("__rl_few").isNull()).drop("__rl_few").join(many.hint("merge"), key).select(*rows.columns, *names)
+    return tagged.where(F.col("__rl_few").isNotNull()).select(*rows.columns, "__rl_few.*").unionByName(cold)
 
 
 def sieve(rows: DataFrame, key: str, wanted: DataFrame, want: str) -> DataFrame:

@@ -11,26 +11,34 @@ documents that score highest are added as negatives, and toxic documents' own hi
 machine is linear in the kernel's features, so its weights fold into one table of 64**3 numbers: the whole model, 1 MB.
 
 Null, empty and very short texts have no window and the lowest score. Texts of any length are scanned in full, in stretches that overlap by
-a window. Without labels of both kinds every score is 0. Extra columns are never read; rows that repeat score alike.
+a window; only the bounded sample to learn from has passages of texts above 65,536 characters. Of windows that tie, the first is taken.
+Without labels of both kinds every score is 0; an empty table gives an empty result. Extra columns are never read, whatever their names and
+types; rows that repeat score alike.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chars import BITS, SYMBOLS, symbols
-from .common import fold, labelled_sample, map_batches, text_of
+from .common import fold, labelled_sample, passages, text_of
 from .nystrom import logistic_fit, whitener
+from .sampling import slices
 
 SPAN, WINDOW, DECAY = 6, 9, 0.8
 #: Labelled documents of each class to learn from, at most.
 SAMPLE = {1: 1500, 0: 2500}
-LANDMARKS, ROUNDS, PER_ROUND = 260, 3, 1200
+LANDMARKS, ROUNDS, PER_ROUND = 700, 3, 1200
+#: The cost of a window on the wrong side.
+COST = 10.0
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Windows of a document that its score reads.
@@ -124,14 +132,30 @@ def document_features(best: np.ndarray, texts: list[str], low: float) -> np.ndar
     return np.concatenate([np.where(np.isfinite(best), best, low), np.log1p([[len(t)] for t in texts])], 1)
 
 
-def features(window: np.ndarray) -> dict[int, float]:
-    """The explicit features of a window of WINDOW + SPAN - 1 symbols."""
-    out: dict[int, float] = {}
-    w = window.tolist() + [0] * max(0, _PAD - 1 - len(window))
-    for i in range(WINDOW):
-        for a, b in _PAIRS:
-            k = (w[i] << (2 * BITS)) | (w[i + a] << BITS) | w[i + b]
-            out[k] = out.get(k, 0.0) + DECAY ** (b - 2)
+#: The weight of each of a start's subsequences, for all starts of a window.
+WEIGHTS = np.tile(np.array([DECAY ** (b - 2) for _, b in _PAIRS], np.float32), WINDOW)
+
+
+def features(windows: list[np.ndarray]) -> np.ndarray:
+    """The explicit features of windows of WINDOW + SPAN - 1 symbols, a row for each: numbers of subsequences (some repeat), weighted by WEIGHTS."""
+    w = np.zeros((len(windows), _PAD - 1), np.int32)
+    for i, x in enumerate(windows):
+        w[i, : len(x)] = x
+    return np.stack([(w[:, i] << (2 * BITS)) | (w[:, i + a] << BITS) | w[:, i + b] for i in range(WINDOW) for a, b in _PAIRS], 1)
+
+
+def kernel(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Kernel values of windows with landmarks (features of both), in blocks: a few MB at a time."""
+    out, table = np.zeros((len(x), len(marks)), np.float32), np.zeros(SYMBOLS**3, np.int32)
+    for j in range(0, len(marks), 64):
+        part = marks[j : j + 64]
+        names = np.unique(part)
+        table[:] = 0
+        table[names] = np.arange(1, len(names) + 1)
+        g = np.zeros((len(names) + 1, len(part)), np.float32)
+        np.add.at(g, (table[part], np.arange(len(part))[:, None]), WEIGHTS)
+        for i in range(0, len(x), 256):
+            out[i : i + 256, j : j + 64] = np.einsum("p,ipj->ij", WEIGHTS, g[table[x[i : i + 256]]])
     return out
 
 
@@ -183,10 +207,10 @@ def _word_score(word: str, odds: dict[str, float]) -> float:
     return max(odds.get(word, -9.0), odds.get(word[:4] + "~", -9.0), odds.get(word[:5] + "~", -9.0))
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 15, seed: int = 7) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, cost: float = COST, epochs: int = 15, seed: int = 7) -> np.ndarray:
     """Linear SVM with hinge loss, by dual coordinate descent. y is 1 or -1; the bias is a feature of its own."""
     rng, alpha, w = np.random.default_rng(seed), np.zeros(len(x)), np.zeros(x.shape[1])
-    q = np.maximum((x * x).sum(1), 1e-12)
+    q = np.maximum(np.einsum("ij,ij->i", x, x), 1e-12)
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
             g = y[i] * (w @ x[i]) - 1
@@ -214,34 +238,19 @@ def _fit_windows(pos: list[np.ndarray], neg: list[np.ndarray], rng: np.random.Ge
     distinct = lambda xs: list({x.tobytes(): x for x in xs}.values())
     p, n = distinct(pos), distinct(neg)
     half = LANDMARKS // 2
-    marks = [p[i] for i in rng.permutation(len(p))[:half]] + [n[i] for i in rng.permutation(len(n))[:half]]
-    table = np.zeros(SYMBOLS**3, np.int64)
-    feats = [features(x) for x in marks]
-    names = sorted(set().union(*feats))
-    table[names] = np.arange(1, len(names) + 1)
-    g = np.zeros((len(names) + 1, len(marks)), np.float32)
-    for j, f in enumerate(feats):
-        for k, v in f.items():
-            g[table[k], j] = v
-    scale = 1 / np.sqrt((g * g).sum(0).mean())
-    g *= scale
-
-    def kernel(xs: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(xs), len(marks)), np.float32)
-        for i, x in enumerate(xs):
-            f = features(x)
-            rows = table[np.fromiter(f, np.int64, len(f))]
-            out[i] = (np.fromiter(f.values(), np.float32, len(f)) * scale) @ g[rows]
-        return out
-
-    white = whitener(kernel(marks).astype(np.float64))
-    z = np.concatenate([kernel(pos), kernel(neg)]) @ white
-    z = np.concatenate([z, np.ones((len(z), 1))], 1)
+    marks = features([p[i] for i in rng.permutation(len(p))[:half]] + [n[i] for i in rng.permutation(len(n))[:half]])
+    own = kernel(marks, marks)
+    # Landmarks' kernel values with themselves are 1 on the mean.
+    scale = 1 / own.diagonal().mean()
+    white = whitener(own.astype(np.float64) * scale) * scale
+    x = features(pos + neg)
+    z = np.ones((len(x), white.shape[1] + 1), np.float32)
+    for i in range(0, len(x), 1024):
+        z[i : i + 1024, :-1] = kernel(x[i : i + 1024], marks) @ white
     w = svm(z, np.concatenate([np.ones(len(pos)), -np.ones(len(neg))]))
-    folded = g @ (white @ w[:-1]) * scale
-    beta = np.zeros(SYMBOLS**3, np.float32)
-    beta[names] = folded[1:]
-    return beta
+    beta = np.zeros(SYMBOLS**3)
+    np.add.at(beta, marks, (white @ w[:-1])[:, None] * WEIGHTS)
+    return beta.astype(np.float32)
 
 
 def train(rows: list[tuple[str, int]], seed: int = 5) -> Model | None:
@@ -284,38 +293,36 @@ def train(rows: list[tuple[str, int]], seed: int = 5) -> Model | None:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    picked = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE).select("text", "label").collect()
-    return train(sorted((r["text"], r["label"]) for r in picked))
+    """From at most SAMPLE rows of bounded size: the driver holds 250 MB of texts at most."""
+    picked = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE)
+    return train(sorted((r["text"], r["label"]) for r in picked.select(passages(F.col("text")).alias("text"), "label").collect()))
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns in keep, and score."""
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+def _scores(model: Model | None, texts: pa.Array) -> np.ndarray:
+    """In runs of bounded size, whatever the length of a text."""
+    if model is None:
+        return np.zeros(len(texts))
+    return np.concatenate([np.empty(0), *(model.score(texts.slice(i, j - i).to_pylist()) for i, j in slices(texts))])
 
-    def make():
-        def f(c):
-            return {**{k: c[k] for k in keep}, "score": (model.score(c["rl_text"]) if model else np.zeros(len(c["rl_text"]))).tolist()}
 
-        return f
-
-    return map_batches(docs.select(*keep, text_of().alias("rl_text")), make, f"{types}, score double")
+def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    model = fit(docs, labels)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(model, b.column(1)))], names=["doc_id", "score"])
 
-def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    out = score(docs, fit(docs, labels), ["doc_id"])
+    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id bigint, score double")
     return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't toxic, with all their columns."""
-    model = fit(docs, labels)
-    names = docs.columns
-
-    def make():
-        def f(c):
-            ok = [i for i, s in enumerate(model.score(["" if t is None else t for t in c["text"]]) if model else [0.0] * len(c["text"])) if s < THRESHOLD]
-            return {n: [c[n][i] for i in ok] for n in names}
+    """The rows of docs that aren't toxic, with all their columns: rows are taken out of Arrow batches, whatever their types."""
+    model, at = fit(docs, labels), docs.columns.index("text")
 
-        return f
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pc.fill_null(b.column(at).cast(pa.string()), "")
+            yield b.filter(pa.array(_scores(model, texts) < THRESHOLD))
 
-    return map_batches(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return docs.mapInArrow(run, docs.schema)
