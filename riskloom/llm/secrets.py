@@ -5,30 +5,34 @@ smallest hashes are taken: a prefix tree of their symbol strings is reduced to a
 compatible (Hoeffding bounds, red-blue order). A second automaton is inferred from ordinary tokens of a bounded sample of documents: short ones, and
 those long ones that no format's automaton rates nearly as high as its own credentials, so that bare credentials, however common, don't
 teach it their format. Every other candidate token of every text is scored by its log likelihood for each symbol under a format's automaton, less that under the ordinary
-one; it is a span of kind `format` if that is at least what nearly all labelled credentials of the format reach. Base spans stay as
-they are; candidates that overlap one are left out.
+one; it is a span of kind `format` if that is at least what nearly all labelled credentials of the format reach. Base spans are scored in the
+same way and stay whatever they score; other candidates that overlap one are left out.
 
-Null counts as empty; texts are scanned whole; rows that repeat are scanned as they stand; extra columns are never read. With no
-labelled credentials there is no `format` span.
+Null counts as empty; texts of any length are scanned whole; rows that repeat are scanned as they stand; an empty table gives an empty
+result; spans that begin at the same place come in the order of the kinds; extra columns are never read. With no labelled credentials there is
+no `format` span.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
+import heapq
 import math
 import re
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, shuffled_order, stored, text_of
+from .common import first_ids, map_batches, stored, text_of
 
-#: Documents from which ordinary tokens are taken, at most; credentials of a kind, and ordinary tokens (short ones, and long ones), at most.
-SAMPLE_DOCS, PER_KIND, ORDINARY = 8000, 400, 3000
 KINDS = ("assign", "access", "hex", "format")
+#: Documents from which ordinary tokens are taken, at most.
+SAMPLE_DOCS = 8000
+#: Credentials of a kind, and ordinary tokens (short ones, and candidates), to learn from, at most; and how long these are at most.
+BOUNDS, LONGEST = {"assign": 400, "access": 400, "hex": 400, "plain": 3000, "long": 3000}, 512
 #: Confidence of the state merging; candidates' least length; the share of labelled credentials below the threshold.
-ALPHA, LEAST, BELOW = 0.05, 12, 0.05
+ALPHA, LEAST, BELOW = 0.05, 12, 0.02
 #: No candidate passes unless it is at least this likelier, for each symbol, as a credential than as an ordinary token.
 MARGIN = 1.0
 # ASCII only, so that no letter outside ASCII matches in the other case.
@@ -37,6 +41,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # Leftmost runs of [0-9a-f]+ are the maximal runs; those of 16 and more are the ones that count.
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 
 
@@ -178,7 +183,6 @@ class Formats:
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], unlabelled: list[str] | None = None):
         self.parts: list[tuple[Automaton, float]] = []
-        self.known: dict[str, bool] = {}
         formats = [(infer([symbols(w) for w in words]), words) for words in labelled.values() if len(words) >= 8]
         plain = [symbols(w) for w in ordinary]
         if unlabelled:
@@ -196,79 +200,105 @@ class Formats:
     def gain(self, own: Automaton, word: str) -> float:
         return own.rate(word) - self.plain.rate(word)
 
-    def likely(self, token: str) -> bool:
+    def score(self, token: str) -> float:
+        """How far a token's best gain is above the threshold of its format: 0 and more is likely."""
         w = symbols(token)
-        return any(self.gain(own, w) >= least for own, least in self.parts)
+        return max((self.gain(own, w) - least for own, least in self.parts), default=-math.inf)
+
+    def likely(self, token: str) -> bool:
+        return self.score(token) >= 0
 
 
 def scan(text: str, formats: Formats | None) -> list[tuple[int, int, int]]:
+    return [x[:3] for x in scored(text, formats)]
+
+
+def scored(text: str, formats: Formats | None) -> list[tuple[int, int, int, float | None]]:
+    """(start, kind number, end, score) of all spans. Base spans stay whatever they score; without formats nothing is scored."""
     spans = base_spans(text)
-    if formats and formats.parts:
-        spans = sorted(spans + [(s, 3, e) for s, e, w in candidates(text, spans) if formats.likely(w)])
-    return spans
+    if not (formats and formats.parts):
+        return [(*x, None) for x in spans]
+    found = [(s, k, e, formats.score(credential(text, s, k, e))) for s, k, e in spans]
+    more = ((s, 3, e, formats.score(w)) for s, e, w in candidates(text, spans))
+    return sorted(found + [x for x in more if x[3] >= 0])
+
+
+class Least:
+    """The distinct words with the smallest hashes, up to a number of them: a sample that doesn't depend on where a word stands."""
+
+    def __init__(self, most: int):
+        self.most, self.kept, self.heap = most, set(), []
+
+    def add(self, word: str) -> bool:
+        """Whether the word is among the smallest so far, and new."""
+        h = -xxhash.xxh3_64_intdigest(word.encode())
+        if (len(self.heap) == self.most and h <= self.heap[0][0]) or word in self.kept:
+            return False
+        self.kept.add(word)
+        heapq.heappush(self.heap, (h, word))
+        if len(self.heap) > self.most:
+            self.kept.discard(heapq.heappop(self.heap)[1])
+        return True
 
 
 def learn(docs: DataFrame) -> Formats:
-    """Formats of credentials from all documents, ordinary tokens from at most SAMPLE_DOCS, picked by a hash of doc_id; only their ids are broadcast."""
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(shuffled_order("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
+    """Formats of credentials from all documents, ordinary tokens from at most SAMPLE_DOCS, picked by a hash of doc_id; only their ids are broadcast.
 
-    def make_labelled():
-        # Of each kind, the task's smallest hashes so far: a credential that isn't among them can't be among the table's.
-        least: dict[int, list[tuple[str, str]]] = {k: [] for k in range(3)}
+    Of each kind the words with the smallest hashes are learned from, first in each task (a word that isn't among its task's can't be among
+    the table's), then of all. A word above LONGEST characters is no example.
+    """
+    ids = first_ids(docs.where(F.col("doc_id").isNotNull()).select("doc_id"), SAMPLE_DOCS).distinct()
 
-        def f(c):
-            out = {"kind": [], "word": []}
-            for t in c["text"]:
-                for s, k, e in base_spans(t):
-                    word = credential(t, s, k, e)[:200]
-                    new, kept = (hashlib.md5(word.encode()).hexdigest(), word), least[k]
-                    at = bisect.bisect_left(kept, new)
-                    if at < PER_KIND and kept[at : at + 1] != [new]:
-                        kept.insert(at, new)
-                        del kept[PER_KIND:]
-                        out["kind"].append(KINDS[k])
-                        out["word"].append(word)
-            return out
+    def words_of(found):
+        def make():
+            least: dict[str, Least] = {}
 
-        return f
+            def f(c):
+                out = {"kind": [], "word": []}
+                for t in c["text"]:
+                    for kind, word in found(t):
+                        if len(word) <= LONGEST and least.setdefault(kind, Least(BOUNDS[kind])).add(word):
+                            out["kind"].append(kind)
+                            out["word"].append(word)
+                return out
 
-    def make():
-        def f(c):
-            out = {"kind": [], "word": []}
-            for t in c["text"]:
-                plain = [w for _, _, w in candidates(t, base_spans(t))][:3] + [w for w in re.findall(r"[A-Za-z0-9+/_=-]{6,}", t)[::40]][:6]
-                for w in plain:
-                    out["kind"].append("plain" if len(w) < LEAST else "long")
-                    out["word"].append(w[:200])
-            return out
+            return f
 
-        return f
+        return make
+
+    def credentials(t):
+        return [(KINDS[k], credential(t, s, k, e)) for s, k, e in base_spans(t)]
+
+    def tokens(t):
+        return [("long", w) for _, _, w in candidates(t, base_spans(t))] + [("plain", w) for w in _TOKEN.findall(t) if len(w) < LEAST]
 
     picked = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").select("text")
-    tokens = map_batches(picked, make, "kind string, word string").distinct()
-    labelled = stored(map_batches(docs.select(text_of().alias("text")), make_labelled, "kind string, word string"), "credentials").distinct()
+    schema = "kind string, word string"
+    every = map_batches(docs.select(text_of().alias("text")), words_of(credentials), schema).unionByName(map_batches(picked, words_of(tokens), schema))
+    every = stored(every.distinct(), "credentials")
     words = {}
-    for kind in (*KINDS[:3], "plain", "long"):
-        rows = (labelled if kind in KINDS else tokens).where(F.col("kind") == kind).orderBy(F.md5("word"), "word").limit(PER_KIND if kind in KINDS else ORDINARY).collect()
-        words[kind] = [r["word"] for r in rows]
+    for kind, most in BOUNDS.items():
+        words[kind] = [r["word"] for r in every.where(F.col("kind") == kind).orderBy(F.md5("word"), "word").limit(most).collect()]
     return Formats({k: words[k] for k in KINDS[:3]}, words["plain"], words["long"])
 
 
 def query(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
+    """The contract's columns, and scores: of each span in `spans`, in turn, how far its format's likelihood is above the format's threshold."""
     formats = formats or learn(docs)
 
     def make():
         def f(c):
-            out = {n: [] for n in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")}
+            out = {n: [] for n in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores")}
             for d, t in zip(c["doc_id"], c["text"], strict=True):
-                spans = scan(t, formats)
-                said = [f"{KINDS[k]}:{s}:{e}" for s, k, e in spans]
-                base = ",".join(x for x, (_, k, _) in zip(said, spans, strict=True) if k < 3)
-                row = (d, *(sum(k == j for _, k, _ in spans) for j in range(3)), hashlib.sha256(base.encode()).hexdigest(), ",".join(said))
+                spans = scored(t, formats)
+                said = [f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans]
+                base = ",".join(x for x, r in zip(said, spans, strict=True) if r[1] < 3)
+                scores = ",".join("" if r[3] is None else f"{r[3]:.2f}" for r in spans)
+                row = (d, *(sum(r[1] == j for r in spans) for j in range(3)), hashlib.sha256(base.encode()).hexdigest(), ",".join(said), scores)
                 for n, v in zip(out, row, strict=True):
                     out[n].append(v)
             return out
 
         return f
 
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")), make, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")), make, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, scores string")
