@@ -1,8 +1,10 @@
 """Quality: histogram gradient-boosted trees over document statistics.
 
 Trees grow level by level on binned features; scoring walks all trees of all documents at once through flat arrays. The features are
-statistics of the whole text; null counts as empty, and empty texts get the score of their statistics (all 0). Without labels of
-both kinds, the score is the share of label 1 (or 0.5). Extra columns are never read; rows that repeat score alike.
+statistics of the whole text, whatever its length, made on the executors; only these numbers reach the driver, for at most SAMPLE labelled
+documents. Null counts as empty, and empty texts get the score of their statistics. Of splits that gain the same, the first feature and the
+lowest limit is taken; values that tie go the same way. Without labels of both kinds, the score is the share of label 1 (or 0.5). An empty
+table gives an empty result. Extra columns are never read, whatever their names and types; rows that repeat score alike.
 """
 
 from __future__ import annotations
