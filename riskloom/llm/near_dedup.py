@@ -118,10 +118,14 @@ def frequencies(texts: DataFrame) -> np.ndarray:
 
 def levels_of(counts: np.ndarray, documents: int) -> np.ndarray:
     """255 times the root of idf(d) / idf(1), for each counter: 4 MB."""
-    chance = float(np.median(counts))
-    d = np.where(counts > chance + 5 * np.sqrt(chance), counts - chance, 1).clip(1)
+    chance = float(np.partition(counts, len(counts) // 2)[len(counts) // 2])
     idf = lambda d: 1 + np.log((1 + documents) / (1 + d))
-    return np.maximum(1, np.round(255 * np.sqrt(np.maximum(idf(d), 0) / max(idf(1), 1e-9)))).clip(max=255).astype(np.uint8)
+    out = np.zeros(len(counts), np.uint8)
+    for k in range(0, len(counts), CHUNK):
+        part = counts[k : k + CHUNK].astype(np.float64)
+        d = np.where(part > chance + 5 * np.sqrt(chance), part - chance, 1).clip(1)
+        out[k : k + CHUNK] = np.round(255 * np.sqrt(np.maximum(idf(d), 0) / max(idf(1), 1e-9))).clip(1, 255)
+    return out
 
 
 def weights_of(terms: np.ndarray, counts: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -247,7 +251,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             moved = join_spread(labels.withColumnRenamed("label", "a"), scratch.stored(every, f"moves-{round_}"), "a")
             labels = scratch.stored(moved.select("node", F.col("to").alias("label")), f"labels-{round_}")
         ends = join_spread(edges, to, "a").select(F.col("to").alias("new_a"), "b")
-        ends = join_spread(ends, to.withColumnRenamed("a", "b"), "b").select(F.col("new_a").alias("a"), F.col("to").alias("b"))
+        ends = join_spread(ends, to.withColumnRenamed("a", "b"), "b", like=edges).select(F.col("new_a").alias("a"), F.col("to").alias("b"))
         edges = scratch.stored(ends.where("a <> b").distinct(), f"edges-{round_}")
         round_ += 1
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -268,7 +272,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = scratch.stored(join_hot(rows, firsts, "band", "c", total), "buckets")
     pairs = scratch.stored(met.where("k <> first").select("k", "first").distinct(), "pairs")
     signs = nodes.select("k", "sign")
-    pairs = join_spread(pairs.join(signs, "k"), signs.select(F.col("k").alias("first"), F.col("sign").alias("first_sign")), "first")
+    pairs = join_spread(pairs, signs.select(F.col("k").alias("first"), F.col("sign").alias("first_sign")), "first").join(signs, "k")
     pairs = scratch.stored(pairs.select("k", "first", "sign", "first_sign").mapInArrow(_agree, "k bigint, first bigint"), "pairs-agreeing")
     linked = verify(docs, nodes, pairs, levels, scratch)
     labels = components(linked.select(F.col("k").alias("a"), F.col("first").alias("b")), scratch)
