@@ -4,14 +4,17 @@ Pieces (documents, cut only where they are longer than a sequence) are dealt by
 Each partition is packed by best-fit decreasing, and dual-feasible functions give a lower bound on the sequences that its pieces
 need. A partition that meets its bound is certified and passes on only the one sequence that is filled least; the others pass on the
 pieces of each sequence with a gap. What was passed on is dealt anew over fewer partitions and packed again, until one partition
-holds it or ROUNDS are over. Rounds only ever merge gaps, so the count never grows.
+holds it. Rounds only ever merge gaps, so the count never grows. `certified` says of a sequence that it is full, or that the partition that
+packed it last met its bound.
 
-Null and empty texts are a document of the end id alone. Rows that repeat are packed as often as they stand there. An empty table
-gives an empty result; other columns are never read.
+Null and empty texts are a document of the end id alone; texts of any length are cut as often as they need. Rows that repeat are packed as
+often as they stand there: a piece is dealt by its row's place in the input too, so that pieces that are alike spread over partitions. Of
+pieces of one length the lesser doc_id comes first. An empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -25,27 +28,28 @@ from .tokens import encoder
 CAPACITY, END_ID = 2048, 0
 #: Pieces of a partition on the average: a task holds this many rows of 60 bytes, whatever the input.
 PART_PIECES = 4000
-ROUNDS = 4
 #: Partitions become fewer by this factor with each round.
 SHRINK = 4
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, mark bigint"
-PACKED = PIECE + ", sequence_id bigint, offset bigint, final boolean"
+PACKED = PIECE + ", sequence_id bigint, offset bigint, final boolean, certified boolean"
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """A row for each piece of each document; mark is a hash by which pieces are dealt."""
+    """A row for each piece of each document; mark is a hash by which pieces are dealt, of its content and its place in the input."""
 
     def make():
-        enc = encoder(vocabulary)
+        from pyspark import TaskContext
+
+        enc, part, rows = encoder(vocabulary), TaskContext.get().partitionId(), itertools.count()
 
         def f(c):
             out = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32", "mark")}
             for d, x in zip(c["doc_id"], enc.ids(c["text"]), strict=True):
-                x = np.append(x, np.uint32(end_id)).astype("<u4")
+                x, row = np.append(x, np.uint32(end_id)).astype("<u4"), next(rows)
                 for k in range(0, len(x), capacity):
                     cut = x[k : k + capacity]
                     crc = zlib.crc32(cut.tobytes())
-                    for n, v in (("doc_id", d), ("piece", k // capacity), ("start", k), ("length", len(cut)), ("ids_crc32", crc), ("mark", zlib.crc32(f"{d}:{k}:{crc}".encode()))):
+                    for n, v in (("doc_id", d), ("piece", k // capacity), ("start", k), ("length", len(cut)), ("ids_crc32", crc), ("mark", zlib.crc32(f"{part}:{row}:{k}:{crc}".encode()))):
                         out[n].append(v)
             return out
 
@@ -109,8 +113,9 @@ def _pack_part(capacity: int, level: int, last: bool):
         bins = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
         final = np.ones(len(fill), bool)
+        met = len(fill) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         if not last:
-            if len(fill) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
+            if met:
                 least = int(fill.argmin())
                 final[least] = fill[least] == capacity
             else:
@@ -121,7 +126,7 @@ def _pack_part(capacity: int, level: int, last: bool):
         first = np.searchsorted(bins[order], np.arange(len(fill)))
         offset[order] = run - run[first][bins[order]]
         number = (np.int64(level) << 58) + (np.int64(key[0].as_py()) << 32) + bins
-        return t.drop_columns(["part"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset)).append_column("final", pa.array(final[bins]))
+        return t.drop_columns(["part"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset)).append_column("final", pa.array(final[bins])).append_column("certified", pa.array((met | (fill == capacity))[bins]))
 
     return f
 
@@ -131,11 +136,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     count = left.count()
     parts = max(1, -(-count // part_pieces))
     done = None
-    for level in range(ROUNDS):
-        last = parts == 1 or level == ROUNDS - 1
+    # Partitions become fewer with each round, so this ends.
+    for level in itertools.count():
+        last = parts == 1
         dealt = left.withColumn("part", F.pmod(F.xxhash64("mark", F.lit(level)), F.lit(parts)))
         packed = stored(dealt.groupBy("part").applyInArrow(_pack_part(capacity, level, last), PACKED), f"packed-{level}")
-        part = packed.where("final").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+        part = packed.where("final").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
         done = part if done is None else done.unionByName(part)
         if last:
             break

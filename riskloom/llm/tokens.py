@@ -14,10 +14,10 @@ from .common import held
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at once; then it starts anew. It bounds memory and changes no result.
-REMEMBER = 1_000_000
+REMEMBER = 800_000
 GROUP = 100
 #: Characters handled at once.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 21
 
 
 def default_path() -> str:
@@ -77,13 +77,16 @@ class Encoder:
         if len(self.known) > REMEMBER:
             self.known = {}
         known = self.known
+        data = list(map(known.get, names))
+        missing = [i for i, x in enumerate(data) if x is None]
         # Signs after a Latin letter are a piece of their own: most new words are known but for these.
-        new = {w: (w, "") if w.isalpha() else _plain(w) for w in names if w not in known}
+        new = {names[i]: (names[i], "") if names[i].isalpha() else _plain(names[i]) for i in missing}
         self._encode(list(({p for p, _ in new.values()} | {end for _, end in new.values() if end}).difference(known)))
         for w, (p, end) in new.items():
             if end:
                 known[w] = known[p] + known[end]
-        data = [known[w] for w in names]
+        for i in missing:
+            data[i] = known[names[i]]
         sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
         every, starts = np.frombuffer(b"".join(data), np.uint32), np.cumsum(sizes) - sizes
         at = words.indices.to_numpy(zero_copy_only=False)
