@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import corpus as C
 from .functions import text as X
 from .operators import chunk, dedup, diff, match, paths, pyast
-from .operators.rules import RULES, by_family, re2_pattern, rules_frame
+from .operators.rules import RULES, re2_pattern, rules_frame
 from .plans import evaluate, report, scan
 from .sources import tree
 

@@ -16,25 +16,20 @@ from .rules import RULES, Rule, by_family, java_pattern, rules_frame
 ARTIFACT, TREE, LINE = 0, 1, 2
 
 
-def number_of(rule_id: str, rules: tuple[Rule, ...] = RULES) -> int:
-    return next(i for i, r in enumerate(rules) if r.rule_id == rule_id)
-
-
 def _hits(c: Column, rules: list[Rule], numbers: dict[str, int]) -> Column:
     return F.array(*[F.when(c.rlike(java_pattern(r)), F.lit(numbers[r.rule_id])) for r in rules]) if rules else F.array().cast("array<int>")
 
 
 def coded(lines: DataFrame, rules: tuple[Rule, ...] = RULES, covered: Column | None = None) -> tuple[DataFrame, Column]:
-    """lines (line, more), the line stripped, with columns that the numbers of the rules which it meets, an array, are made of. A null line meets none.
+    """lines (line, stripped, and more) with columns that the numbers of the rules which it meets, an array, are made of. A null line meets none.
 
     Secrets and malware are searched in the stripped line, language rules in it without its comment. A malware hit, a comment line,
     or being covered by a syntax tree's finding leaves no language rule. The array is to be exploded right away: a projection of its own
     would be folded with the one that makes the code, and make it anew for each rule.
     """
     numbers = {r.rule_id: i for i, r in enumerate(rules)}
-    base = lines.withColumn("line", X.strip(F.col("line")))
     # One projection makes the code; the predicates read its result.
-    made = base.withColumn("rl_code", F.when(~X.is_comment_line(F.col("line")), X.strip(X.strip_inline_comment(F.col("line")))))
+    made = lines.withColumn("rl_code", F.when(~X.is_comment_line(F.col("line")), X.strip(X.strip_inline_comment(F.col("line")))))
     made = made.withColumn("rl_malware", F.array_compact(_hits(F.col("line"), by_family("malware", rules), numbers)))
     searched = (F.size("rl_malware") == 0) & (F.col("rl_code") != "")
     if covered is not None:

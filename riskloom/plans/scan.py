@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schemas import SYNTAX
-from ..functions.text import line_array, line_count
+from ..functions.text import line_array, line_count, strip
 from ..operators.dedup import dedup_findings
 from ..operators.diff import added_array, file_parts
 from ..operators.match import artifact_line, coded, findings
@@ -38,8 +38,8 @@ def _piece(line_num: Column, line: Column, rule_no: Column | None = None, found:
 
 def _findings(pieces: DataFrame, rules: tuple[Rule, ...], covered: Column | None = None) -> DataFrame:
     """Pieces (file, p, more) as findings."""
-    flat = pieces.select("*", "p.*").drop("p").withColumn("name", F.when(F.col("rule_no").isNotNull(), F.col("line")))
     # Only lines are searched, and stripped; a syntax tree's finding and a name come with their rule.
+    flat = pieces.select("*", "p.*").drop("p").withColumns({"name": F.when(F.col("rule_no").isNotNull(), F.col("line")), "line": strip(F.col("line"))})
     made, every = coded(flat, rules, covered)
     hits = made.withColumn("rl_no", F.explode(F.when(F.col("rule_no").isNotNull(), F.array("rule_no")).otherwise(every)))
     return findings(hits.withColumns({"rule_no": F.col("rl_no"), "line": F.coalesce("name", "line")}).drop("rl_no", "rl_code", "rl_malware", "name"), rules, "found")

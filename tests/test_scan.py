@@ -177,7 +177,7 @@ def test_reports_of_many_findings(spark, tmp_path):
     rows = lines_of(spark, [f"password = 'secret{i}'" for i in range(300)] + ["gets(b)"])
     found = match.findings(match.match_lines(rows))
     made = report.write_reports(found, str(tmp_path / "out"), 301, shown=10)
-    assert len(json.load(open(made["findings.json"]))) == 301 and open(made["report.html"]).read().count("<tr class=") == 10
+    assert len(json.load(open(made["findings.json"]))) == 301 == len(json.loads(report.to_json_array(report.finding_rows(found)))) and open(made["report.html"]).read().count("<tr class=") == 10
     text = open(made["summary.md"]).read()
     assert "Findings: `301`" in text and "291 more findings" in text and text.count("SEC-PASS-001") == 10
     whole = json.load(open(made["results.sarif"]))
