@@ -6,14 +6,16 @@ document that is longer has a frame of its own):
     magic "RL8B", version, documents, ids, words, escapes, blocks (u4 each)
     document lengths (u4 each) | block offsets: first word, first escape of each block (u4 pairs) | words (u8) | escapes (u4)
 
-Each 64-bit word has a selector in its top 4 bits, which says how many ids of how many bits fill the other 60. All ids are below
-2**28 but may be larger than the chosen width allows: those become the escape value of 0 plus an entry in the escapes. A block is
-BLOCK ids (the last: what is left); it starts at a word of its own, so blocks decode by themselves, and within a frame all words of
+Each 64-bit word has a selector in its top 4 bits, which says how many ids of how many bits fill the other 60; it takes as many of the next
+ids as fit. Ids are below 2**32. Those that no selector holds (above IN_PLACE) are the escape value of 0 plus an entry in the escapes. A block
+is BLOCK ids (the last: what is left); it starts at a word of its own, so blocks decode by themselves, and within a frame all words of
 a selector decode at once in numpy.
 
-Null and empty texts have just the end id. Rows that repeat are documents of their own, in the order (doc_id, text), null doc_id
-last. An empty table gives no frames and an empty result. Frames are stored by Spark in Parquet (a binary column), so that any
-file system that Spark writes to will do and a lost task's files are never seen; dump() and load() put the same bytes in plain files.
+Null and empty texts have just the end id. Texts of any length are encoded whole. Rows are in ascending order of doc_id, null last; those
+that share a doc_id are documents of their own, in the order of a hash of their texts. Ranges of rows are cut in the order (doc_id, hash, place
+in the input), so rows that share a doc_id, or are alike, spread over tasks. An empty table gives no frames and an empty result; extra columns
+are never read. Frames are stored by Spark in Parquet (a binary column, beside it the doc_ids and numbers of ids), so that any file system
+that Spark writes to will do and a lost task's files are never seen; dump() and load() put the same bytes in plain files.
 """
 
 from __future__ import annotations
@@ -35,45 +37,42 @@ END_ID = 1
 #: Ids in a block, and ids after which a frame is closed.
 BLOCK, FRAME = 1 << 14, 1 << 18
 #: selector -> (ids in a word, bits of each)
-WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
-#: The largest id that is stored in place. Larger ones are escapes: a 0 in place (0 itself is stored as 1, and so on) and the id beside.
-IN_PLACE = (1 << 15) - 2
-_BITS = np.array([v.bit_length() for v in range(1 << 15)], np.int8)
+WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20))
+#: The largest id that is stored in place. Larger ones are escapes: a 0 in place (0 itself is stored as 1, and so on) and the id beside. With
+#: a smaller limit, ids that fit a wide selector would take 32 bits beside and a place.
+IN_PLACE = (1 << 20) - 2
+_BITS = np.frexp(np.arange(1 << 20))[1].astype(np.int8)
+_COUNTS = np.array([c for c, _ in WIDTHS])
+VERSION = 2
 HEAD = struct.Struct("<4sIIIIII")
 
 
 def pack_words(values: np.ndarray) -> np.ndarray:
-    """Simple-8b words of values (uint64, below 2**60): each word takes as many of the next values as fit.
+    """Simple-8b words of values (uint64, below 2**20): each word takes as many of the next values as fit.
 
-    For each selector, how far its width reaches from a position follows from the next position whose value is too wide; so the
-    words are found by one pass over positions that are starts, and filled selector by selector.
+    A selector's word may start where its number of values in a row fit, and anywhere after the last value that is too wide for it. So the
+    words are found by one pass over their starts, and filled selector by selector.
     """
     n = len(values)
     if not n:
         return np.empty(0, np.uint64)
-    if values.max() < len(_BITS):
-        bits = _BITS[values.astype(np.int32)]
-    else:
-        bits = np.array([int(v).bit_length() for v in values], np.int8)
+    bits = _BITS[values.astype(np.int32)]
     best = np.full(n, len(WIDTHS) - 1, np.int8)
-    at = np.arange(n, dtype=np.int32)
-    rest = n - at
     for s in range(len(WIDTHS) - 2, -1, -1):
         count, width = WIDTHS[s]
-        ends = np.append(np.flatnonzero(bits > width), n).astype(np.int32)
-        if (len(ends) - 1) * (count + 1) > n * count:
-            continue  # too few values in a row fit for this to be worth a look
-        if len(ends) == 1:
-            best[:] = s
-            continue
-        room = np.repeat(ends, np.diff(ends, prepend=np.int32(-1)))[:n] - at
-        best[(room >= count) | (room == rest)] = s
-    take = np.array([c for c, _ in WIDTHS])[best]
-    starts, i, step = [], 0, take.tolist()
-    while i < n:
-        starts.append(i)
-        i += step[i]
-    starts = np.array(starts)
+        fits = bits <= width
+        at = np.flatnonzero(fits)
+        best[at[: len(at) - count + 1][at[count - 1 :] - at[: len(at) - count + 1] == count - 1] if len(at) >= count else at[:0]] = s
+        # From here on all values fit.
+        best[n - int(fits[::-1].argmin()) if len(at) < n else 0 :] = s
+    # Where words start is found by doubling: the starts so far, and those that as many words further on follow them. n stands for the end.
+    after = np.append(np.minimum(np.arange(n) + _COUNTS[best], n), n)
+    starts = np.zeros(1, np.int64)
+    while (more := after[starts])[0] < n:
+        starts = np.concatenate([starts, more])
+        after = after[after]
+    starts = np.concatenate([starts, more])
+    starts = starts[starts < n]
     chosen = best[starts]
     # Zeros fill up the last word.
     padded = np.concatenate([values, np.zeros(64, np.uint64)])
@@ -92,7 +91,7 @@ def pack_words(values: np.ndarray) -> np.ndarray:
 def unpack_words(words: np.ndarray) -> np.ndarray:
     """All values of the words, with the zeros that fill up a last word."""
     selector = (words >> np.uint64(60)).astype(np.int64)
-    counts = np.array([c for c, _ in WIDTHS])[selector]
+    counts = _COUNTS[selector]
     first = np.concatenate([[0], np.cumsum(counts)])
     out = np.zeros(int(first[-1]), np.uint64)
     for s in np.unique(selector):
@@ -117,14 +116,14 @@ def encode_frame(docs: list[np.ndarray]) -> bytes:
         escapes.append(block[far].astype("<u4"))
         n_words += len(w)
         n_escapes += len(escapes[-1])
-    head = HEAD.pack(b"RL8B", 1, len(docs), len(ids), n_words, n_escapes, len(offsets) // 2)
+    head = HEAD.pack(b"RL8B", VERSION, len(docs), len(ids), n_words, n_escapes, len(offsets) // 2)
     return b"".join([head, lengths.tobytes(), np.array(offsets, "<u4").tobytes(), *(w.astype("<u8").tobytes() for w in words), *(e.tobytes() for e in escapes)])
 
 
 def decode_frame(data: bytes) -> list[np.ndarray]:
     """The ids (uint32) of each document of a frame."""
     magic, version, n_docs, n_ids, n_words, n_escapes, n_blocks = HEAD.unpack_from(data)
-    if magic != b"RL8B" or version != 1:
+    if magic != b"RL8B" or version != VERSION:
         raise ValueError("not a frame of this format")
     at = HEAD.size
     lengths = np.frombuffer(data, "<u4", n_docs, at)
@@ -135,7 +134,7 @@ def decode_frame(data: bytes) -> list[np.ndarray]:
     escapes = np.frombuffer(data, "<u4", n_escapes, at + 8 * n_words)
     values = unpack_words(words)
     # Values before each block: all those of the words before it. The last word of a block may be filled up with zeros.
-    counts = np.array([c for c, _ in WIDTHS])[(words >> np.uint64(60)).astype(np.int64)] if n_words else np.empty(0, np.int64)
+    counts = _COUNTS[(words >> np.uint64(60)).astype(np.int64)] if n_words else np.empty(0, np.int64)
     before = np.concatenate([[0], np.cumsum(counts)])
     sizes = np.full(n_blocks, BLOCK)
     if n_blocks:
@@ -193,12 +192,14 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
         if held:
             yield frame()
 
-    order = [F.col("doc_id").asc_nulls_last(), "text"]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    # Ranges are of doc_id alone: their limits come from a sample that the driver gets.
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), order[0]).sortWithinPartitions(*order)
+    rows = rows.withColumns({"mark": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_last(), F.col("mark"), F.col("row")]
+    # The ranges' limits come from a sample of these three columns, which the driver gets.
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
     out = rows.mapInArrow(run, "part int, frame_no bigint, doc_ids array<bigint>, n_ids bigint, frame binary")
-    out.write.option("compression", "none").parquet(path)
+    # Frames hardly compress; the doc_ids beside them do.
+    out.write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -67,14 +67,70 @@ def test_exact_dedup_keeps_columns(spark, odd):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["3", "None", "7", "8", "9"])
 
 
-def test_index_persists(spark, odd, tmp_path):
+@pytest.mark.parametrize("sessions", [(4, 8, 3), (3, 4, 4)])
+def test_index_persists(spark, odd, tmp_path, sessions):
+    """Whatever the shuffle partitions of the sessions that open it."""
     at = str(tmp_path / "index")
-    exact_dedup.DigestIndex(spark, at, 4).add(odd).count()
-    again = exact_dedup.DigestIndex(spark, at, 4)
-    more = make(spark, [(1, "a b", None, None), (20, "new", None, None), (21, "new", None, None)])
-    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in again.add(more).collect()}
-    assert got == {1: (3, False), 20: (20, True), 21: (20, False)}
-    assert again.entries().count() == 5 + 1
+    texts = [(i, f"text {i % 2000}", None, None) for i in range(100, 2600)]
+    more = make(spark, [(1, "a b", None, None), (20, "new", None, None), (21, "new", None, None), (None, "new", None, None)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for k, n in enumerate(sessions):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            index = exact_dedup.DigestIndex(spark, at)
+            assert index.buckets == sessions[0]
+            kept = [r["doc_id"] for r in index.add(odd).collect() if r["kept"]]
+            assert len(kept) == (5 if k == 0 else 0)
+            got = index.add(make(spark, texts)).collect()
+            assert sum(r["kept"] for r in got) == (2000 if k == 0 else 0) and all(r["keep_id"] == (r["doc_id"] - 100) % 2000 + 100 or r["doc_id"] < 2100 for r in got)
+            assert index.entries().count() == 2005
+        got = sorted((str(r["doc_id"]), r["keep_id"], r["kept"], r["group_size"]) for r in index.add(more).collect())
+        assert got == [("1", 3, False, 1), ("20", 20, True, 3), ("21", 20, False, 3), ("None", 20, False, 3)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, at, 77)
+    assert not [t for t in spark.catalog.listTables() if "digest_index" in t.name]
+
+
+def test_a_lost_batch_can_be_repeated(spark, odd, tmp_path):
+    at = str(tmp_path / "index")
+    rows = lambda: sorted(map(str, exact_dedup.DigestIndex(spark, at).add(odd, "monday").collect()))
+    first = rows()
+    # The run that got this result is lost after it wrote the index.
+    assert rows() == first and exact_dedup.DigestIndex(spark, at).entries().count() == 5
+    assert not any(r["kept"] for r in exact_dedup.DigestIndex(spark, at).add(odd, "tuesday").collect())
+
+
+MAPPED = KIND + ", more map<string,array<int>>, deep struct<x: array<map<int,string>>>"
+
+
+@pytest.mark.parametrize("stage", ["exact_dedup", "near_dedup", "mixing", "toxicity"])
+def test_map_columns_pass(spark, stage):
+    rows = [(d, t, y, s, 0, "a", None, "b", "c", "d", "e", "f", {"k": [1]}, ([{1: "x"}],)) for d, t, y, s in ODD]
+    for docs in (spark.createDataFrame(rows, MAPPED), spark.createDataFrame([], MAPPED)):
+        labels = spark.createDataFrame([(5, 1, 0), (7, 0, 1)], "doc_id bigint, quality int, toxic int")
+        out = {"exact_dedup": exact_dedup.dedup_documents, "near_dedup": near_dedup.dedup_documents, "mixing": mixing.mix, "toxicity": lambda d: toxicity.clean_documents(d, labels)}[stage](docs)
+        assert out.columns == docs.columns and all(r["more"] == {"k": [1]} and r["deep"]["x"] == [{1: "x"}] for r in out.collect())
+
+
+def test_many_rows_alike(spark):
+    """A third of the rows share text and doc_id (or have none): one of them stays, and all are counted."""
+    rows = [(None if i % 3 else i, "one text of six words here" if i % 3 else f"w{i} other", None, f"s{i % 2}") for i in range(6000)]
+    docs = make(spark, rows)
+    got = exact_dedup.query(spark, docs).collect()
+    assert sum(r["kept"] for r in got) == 2001 and max(r["group_size"] for r in got) == 4000
+    got = near_dedup.query(docs).collect()
+    assert sum(r["kept"] for r in got) == 2001 and max(r["class_size"] for r in got) == 4000
+    got = mixing.query(docs).collect()
+    by = {}
+    for r in got:
+        assert r["taken"] <= 3 * r["size"]
+        by.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    assert len(got) == 6000 and all(abs(sum(v) - t) <= 6 for (_, t), v in by.items())
+    assert sum(len(t.split()) for (t,) in mixing.mix(docs).select("text").collect()) == sum(r["taken"] for r in got)
+    assert len({r["mark"] for r in packing.pieces(docs).select("mark").collect()}) > 5900
+    assert token_output.query(spark, docs).count() == 6000 and fingerprints.query(docs).count() == 6000
 
 
 # mixing
@@ -106,6 +162,24 @@ def test_mixing_reaches_targets(spark):
     assert words == sum(r["taken"] for r in got)
 
 
+def test_mixing_comes_near_targets_of_small_sources(spark, larger):
+    """Fifty documents a source, some of them a tenth of it and more."""
+    by = {}
+    for r in mixing.query(larger[0]).collect():
+        by.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    assert len(by) == 20 and all(abs(sum(v) - t) <= 0.01 * t for (_, t), v in by.items())
+
+
+def test_first_ids_are_those_of_the_order(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    want = [r["doc_id"] for r in rows.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(100).collect()]
+    assert [r["doc_id"] for r in common.first_ids(rows, 100).collect()] == want
+    assert rows.where(common.early("doc_id", 20_000, 100)).count() < 1000
+    assert common.first_ids(rows.limit(7), 100).count() == 7 and common.first_ids(rows.limit(0), 100).count() == 0
+
+
 @pytest.mark.parametrize("name", ["exact_dedup", "mixing"])
 def test_sql(spark, given, name):
     df = exact_dedup.query(spark, given[0]) if name == "exact_dedup" else mixing.query(given[0])
@@ -126,6 +200,31 @@ def test_encoder_equals_whole_texts():
     assert [x.tolist() for x in e.ids(texts)] == [e.tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def greedy_words(values):
+    """(selector, values) of each word: the selector with the most values that fit."""
+    out, i = [], 0
+    while i < len(values):
+        for s, (count, width) in enumerate(token_output.WIDTHS):
+            if all(v < 1 << width for v in values[i : i + count]):
+                out.append((s, values[i : i + count]))
+                i += count
+                break
+    return out
+
+
+def test_words_take_as_many_as_fit():
+    rng = random.Random(23)
+    for _ in range(300):
+        values = [rng.randrange(1 << rng.choice([0, 1, 2, 3, 4, 6, 8, 12, 15, 20])) if rng.random() < 0.3 else rng.randrange(rng.choice([1, 2, 4])) for _ in range(rng.randrange(200))]
+        words = token_output.pack_words(np.array(values, np.uint64))
+        want = greedy_words(values)
+        assert (words >> np.uint64(60)).tolist() == [s for s, _ in want]
+        for w, (s, v) in zip(words.tolist(), want, strict=True):
+            count, width = token_output.WIDTHS[s]
+            assert [(w >> (width * k)) & ((1 << width) - 1) for k in range(count)][: len(v)] == v
+        assert token_output.unpack_words(words)[: len(values)].tolist() == values
+
+
 def test_frames_round_trip():
     rng = np.random.default_rng(7)
     for _ in range(60):
@@ -154,7 +253,9 @@ def crc(ids):
 
 def test_token_output(spark, odd, none):
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_output.query(spark, odd).collect())
-    order = sorted(ODD, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    from pyspark.sql import functions as F
+
+    order = [tuple(r) for r in odd.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", "text").collect()]
     want, start = [], 0
     for d, ids in expected_ids(order, 1):
         want.append((start, d, len(ids), crc(ids)))
@@ -179,6 +280,10 @@ def test_packing(spark, odd, none):
         assert at <= 2048
     used, bound = packing.certificate(df)
     assert used == len(by) and bound <= used <= 1.06 * bound + 1  # partitions of 40 pieces; production ones have 4000
+    full = {r["sequence_id"]: 0 for r in got}
+    for r in got:
+        full[r["sequence_id"]] += r["length"]
+    assert all(r["certified"] or full[r["sequence_id"]] < 2048 for r in got)
     assert packing.pack(none).count() == 0
 
 
@@ -237,9 +342,60 @@ def test_trees_learn_a_rule():
     assert ((s > 0.5) == y[1500:]).mean() > 0.97
 
 
-def test_toxicity(spark, larger, odd, none):
-    pairs = held(toxicity.query(*larger), *larger, "toxic")
-    assert sum(a == b for a, b in pairs) / len(pairs) > 0.93 and sum(a and not b for a, b in pairs) <= 2
+def scalar_score(model, row):
+    """One document, one tree, one node after the other."""
+    sum_ = model.base
+    for at in model.roots.tolist():
+        while model.child[at] != at:
+            at = model.child[at] + int(row[model.feature[at]] > model.limit[at])
+        sum_ += model.value[at]
+    return 1 / (1 + np.exp(-sum_))
+
+
+def test_flat_trees_equal_a_scalar_walk():
+    rng = np.random.default_rng(24)
+    x = np.round(rng.random((600, 6)) * 20)
+    y = (x[:, 0] + x[:, 2] > rng.random(600) * 40).astype(float)
+    m = quality.train(x, y)
+    assert len(m.roots) == quality.TREES
+    assert np.allclose(m.score(x), [scalar_score(m, r) for r in x], atol=1e-12)
+
+
+def test_the_first_split_is_the_best_of_all():
+    """Histograms against a search over every feature and limit, on values with ties."""
+    rng = np.random.default_rng(25)
+    for _ in range(5):
+        x = rng.integers(0, 12, (300, 4)).astype(float)
+        y = (x[:, 1] + rng.integers(0, 6, 300) > 8).astype(float)
+        m = quality.train(x, y)
+        share = (y.sum() + 1) / (len(y) + 2)
+        g, h = share - y, np.full(len(y), share * (1 - share))
+
+        def gain(j, limit, x=x, g=g, h=h):
+            left = x[:, j] <= limit
+            if min(left.sum(), (~left).sum()) < quality.LEAF:
+                return -1.0
+            return sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1)
+
+        best = max(gain(j, v) for j in range(4) for v in np.unique(x[:, j]))
+        root = m.roots[0]
+        assert abs(gain(m.feature[root], m.limit[root]) - best) < 1e-9
+
+
+def test_statistics_are_of_the_whole_text():
+    text = "One two two.\nThree!\n" + "x " * 5000
+    got = dict(zip(quality.NAMES, quality.statistics(text), strict=True))
+    words = text.split()
+    assert got["words"] == np.log1p(len(words)) and got["commonest_word"] == 5000 / len(words) and got["distinct_words"] == len(set(words)) / len(words)
+    assert got["lines"] == np.log1p(3) and got["ended_lines"] == 2 / 3 and got["upper"] == 2 / len(text)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity(spark, odd, none, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{n}.parquet") for n in ("documents", "labels"))
+    pairs = held(toxicity.query(docs, labels), docs, labels, "toxic")
+    found, toxic, false = sum(a and b for a, b in pairs), sum(b for _, b in pairs), sum(a and not b for a, b in pairs)
+    assert found >= 0.9 * toxic and false <= 0.01 * len(pairs), (found, toxic, false)
     labels = spark.createDataFrame([(5, 1, 0), (7, 0, 1), (8, 1, 0), (None, None, None)], "doc_id bigint, quality int, toxic int")
     for docs in (odd, none):
         for table in (labels, labels.limit(0)):
@@ -249,6 +405,18 @@ def test_toxicity(spark, larger, odd, none):
             assert kept.columns == docs.columns and kept.count() == sum(not r["predicted"] for r in got)
 
 
+def test_training_texts_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a" * 5), (2, "".join(chr(97 + i % 26) for i in range(common.LONG + 1000))), (3, ""), (4, "ü" * (common.LONG * 10))]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", common.passages(F.col("text"))).collect()}
+    assert got[1] == "a" * 5 and got[3] == "" and all(common.LONG <= len(got[k]) <= common.LONG + common.PASSAGES for k in (2, 4))
+    assert got[2].startswith(rows[1][1][:100]) and got[2].endswith(rows[1][1][-100:])
+    docs = spark.createDataFrame([(1, f"t{i % 3}") for i in range(3000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1)] * 50, "doc_id bigint, toxic int")
+    assert [tuple(r) for r in common.labelled_sample(docs, labels, "toxic", 4, 9, {1: 10}).collect()] == [(1, "t0", 1)]
+
+
 def test_toxicity_tolerates_gaps():
     rng = random.Random(10)
     word = lambda: "".join(rng.choice("aeioutnrshl") for _ in range(rng.randrange(2, 8)))
@@ -267,7 +435,26 @@ def test_subsequence_scores_equal_features():
     scores = toxicity.window_scores(np.concatenate([codes, np.zeros(20, np.uint8)]), beta)
     for i in (0, 7, 20):
         window = codes[i : i + toxicity.WINDOW + toxicity.SPAN - 1]
-        assert abs(scores[i] - sum(v * beta[k] for k, v in toxicity.features(window).items())) < 1e-3
+        assert abs(scores[i] - (toxicity.WEIGHTS * beta[toxicity.features([window])[0]]).sum()) < 1e-3
+
+
+def brute_features(window):
+    """Subsequences of three symbols within SPAN symbols, each worth DECAY for every symbol it skips."""
+    w, out = [*window.tolist(), *[0] * 20], Counter()
+    for i in range(toxicity.WINDOW):
+        for b in range(2, toxicity.SPAN):
+            for a in range(1, b):
+                out[w[i], w[i + a], w[i + b]] += toxicity.DECAY ** (b - 2)
+    return out
+
+
+def test_kernel_equals_that_of_subsequences():
+    rng = np.random.default_rng(29)
+    windows = [rng.integers(0, 5, rng.integers(3, toxicity.WINDOW + toxicity.SPAN)).astype(np.uint8) for _ in range(90)]
+    f = [brute_features(w) for w in windows]
+    want = [[sum(v * b[k] for k, v in a.items()) for b in f] for a in f]
+    x = toxicity.features(windows)
+    assert np.allclose(toxicity.kernel(x, x), want, rtol=1e-4)
 
 
 def test_language(spark, larger, odd, none):
@@ -280,6 +467,60 @@ def test_language(spark, larger, odd, none):
     assert {r["lang_pred"] for r in langid.query(make(spark, [(1, "abc", None, None), (2, "12", None, None)])).collect()} == {"und"}
 
 
+def brute_symbols(text):
+    one = lambda c: " " if c.isspace() or not c.isprintable() or c in ".,;:!?" else "0" if c.isdigit() else c.lower()[0]
+    return "".join(map(one, text))
+
+
+def brute_ngrams(text):
+    t = brute_symbols(text)
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+
+def test_language_kernel_and_regression():
+    """Kernel values against sets of n-grams in several scripts, and the folded model against a ridge regression on the kernel itself."""
+    rng = random.Random(26)
+    letters = {"a": "abcde fgh.", "b": "фывап ролд,", "c": "漢字仮名交 り文!", "d": "😀😁𐐀𐐨 x1٣"}
+    text = lambda y: "".join(rng.choice(letters[y]) for _ in range(rng.randrange(3, 60)))
+    rows = [(t, y) for y in letters for t in (text(y) for _ in range(40)) if langid.has_letter(t)]
+    for t, _ in rows:
+        assert len(langid.ngrams(t)) == len(brute_ngrams(t))
+    found = [langid.ngrams(t) for t, _ in rows]
+    known = np.unique(np.concatenate(found))
+    marks = np.zeros((len(known), len(rows)), np.float32)
+    for j, f in enumerate(found):
+        marks[np.searchsorted(known, f), j] = 1 / np.sqrt(len(f))
+    new = [text(y) for y in letters for _ in range(5)]
+    got = langid.kernel([langid.ngrams(t) for t in new], known, marks)
+    sets = [brute_ngrams(t) for t, _ in rows]
+    for i, t in enumerate(new):
+        own = brute_ngrams(t)
+        assert np.allclose(got[i], [len(own & s) / (len(own) * len(s)) ** 0.5 for s in sets], atol=1e-5)
+    m = langid.train(rows)
+    assert len(rows) <= langid.LANDMARKS and len(m.names) == 4
+    # With all rows as landmarks, Nyström features are those of the kernel (with its ridge): regression in the dual.
+    k = langid.kernel(found, known, marks)
+    kx = langid.kernel([langid.ngrams(t) for t in new], known, marks)
+    inner = np.linalg.inv(k + 1e-3 * np.eye(len(k)))
+    n = len(rows)
+    for j, y in enumerate(m.names):
+        own = np.array([r[1] == y for r in rows])
+        v = np.where(own, 0.5 / own.sum(), 0.5 / (~own).sum()) * n
+        gram, cross = k @ inner @ k + 1, kx @ inner @ k + 1
+        alpha = np.linalg.solve(gram + 1e-2 * n * np.diag(1 / v), np.where(own, 1.0, -1.0))
+        assert np.allclose(m.values(new)[:, j], cross @ alpha, atol=2e-3)
+
+
+def test_languages_are_not_capped(spark):
+    rng = random.Random(27)
+    rows = []
+    for y in range(300):
+        own = [chr(0x3400 + 40 * y + i) for i in range(40)]
+        rows += [(len(rows) + i, "".join(rng.choice(own) for _ in range(40)), f"l{y:03d}", "s") for i in range(12)]
+    got = [r for r in langid.query(make(spark, rows)).collect() if r["held_out"]]
+    assert np.mean([r["lang_pred"] == rows[r["doc_id"]][2] for r in got]) > 0.97
+
+
 # secrets
 
 
@@ -342,6 +583,9 @@ def test_common_bare_credentials_are_found(spark, bare):
     text = {i: t for i, t, *_ in rows}
     spans = {r["doc_id"]: [x.split(":") for x in r["spans"].split(",") if x.startswith("format")] for r in secrets.query(make(spark, rows)).collect()}
     found = {i: {text[i][int(s) : int(e)] for _, s, e in x} for i, x in spans.items()}
+    # Labelled credentials are scored like all others, and nearly all pass.
+    labelled = [float(x) for r in secrets.query(make(spark, rows)).where("n_assign = 1 AND spans NOT LIKE '%format%'").collect() for x in r["scores"].split(",")]
+    assert not labelled or sum(x >= 0 for x in labelled) >= 0.9 * len(labelled)
     assert sum(keys[i] in found[i] for i in keys) >= 0.9 * len(keys)
     assert sum(plain[i] in found[i] for i in plain) <= 0.01 * len(plain)
 
@@ -388,14 +632,23 @@ def test_collision_rate_is_generalised_jaccard(top):
     assert abs(np.mean(off)) < 0.015
 
 
+def every_e1(s, terms):
+    """e1 of each term (rows) and sample."""
+    which, k, e1 = s.first(terms, np.full(len(terms), np.inf))
+    out = np.full((len(terms), s.samples), np.nan)
+    out[which, k] = e1
+    return out
+
+
 def test_passed_over_terms_change_no_sample():
     s, rng = sampling.Sampler(64, 5), np.random.default_rng(18)
-    for size, most in ((1, 1.0), (3, 0.01), (900, 1.3), (900, 0.2), (2000, 6.0)):
+    for size, most in ((1, 1.0), (3, 0.01), (900, 1.0), (900, 0.2), (2000, 1.0)):
         terms = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
-        w, h = rng.random(size) * most, s.hashes(terms)
+        w, e1 = rng.random(size) * most, every_e1(s, terms)
+        assert not np.isnan(e1).any()
         want = []
         for k in range(64):
-            a, t = s.rated(terms, np.full(size, k), h[:, k], w)
+            a, t = s.rated(terms, np.full(size, k), e1[:, k], w)
             i = a.argmin()
             want.append(sampling.mixed(sampling.mixed(terms[i : i + 1]) + t[i : i + 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0])
         # Other texts in the same call change nothing either.
@@ -404,17 +657,32 @@ def test_passed_over_terms_change_no_sample():
 
 
 def test_draws_have_the_laws_of_the_method():
-    s, rng = sampling.Sampler(1, 9), np.random.default_rng(21)
-    terms = rng.integers(0, 1 << 64, 200_000, np.uint64)
-    h, zero = s.hashes(terms)[:, 0], np.zeros(len(terms), int)
-    # With weight 1 ln a is ln c - r (1 - b), and a is exponential; with a small weight w it is exponential of rate w.
+    s, rng = sampling.Sampler(10, 9), np.random.default_rng(21)
+    terms = rng.integers(0, 1 << 64, 60_000, np.uint64)
+    e1 = every_e1(s, terms)
+    assert abs(e1.mean() - 1) < 0.01 and abs(e1.std() - 1) < 0.02
+    # Samples of a term are independent of each other.
+    assert np.abs(np.corrcoef(e1.T) - np.eye(10)).max() < 0.02
+    assert abs((np.minimum(e1[:, 2], e1[:, 7]) > 0.5).mean() - np.exp(-1)) < 0.01
+    # a is exponential, its rate the weight.
     for w in (1.0, 0.37, 0.02):
-        a, t = s.rated(terms, zero, h, np.full(len(terms), w))
+        a, t = s.rated(terms, np.full(len(terms), 4), e1[:, 4], np.full(len(terms), w))
         x = np.exp(a) * w
-        assert abs(x.mean() - 1) < 0.01 and abs(x.std() - 1) < 0.02 and abs((x < np.log(2)).mean() - 0.5) < 0.005
+        assert abs(x.mean() - 1) < 0.02 and abs(x.std() - 1) < 0.03 and abs((x < np.log(2)).mean() - 0.5) < 0.01
         assert (t <= 0).all() and (w < 1 or (t == 0).all())
 
 
+def test_bands_collide_as_samples_would():
+    """Five samples of one pair agree together as often as five independent ones."""
+    s, rng, met = sampling.Sampler(100, 4), np.random.default_rng(28), []
+    for _ in range(400):
+        terms = np.unique(rng.integers(0, 1 << 64, 120, np.uint64))
+        a, b = terms[:100], terms[20:]
+        x, y = s.sample(np.concatenate([a, b]), np.ones(200), np.array([0, 100, 200]))
+        met.append((x == y).reshape(20, 5).all(1).mean())
+    assert abs(np.mean(met) - (80 / 120) ** 5) < 0.015
+
+
 def test_bags_are_the_runs_of_words():
     import pyarrow as pa
 
